@@ -183,15 +183,31 @@ def remove_outliers_iqr(df: DataFrame, cols: Sequence[str], factor: float = 1.5)
 
 
 def remove_outliers_zscore(df: DataFrame, cols: Sequence[str], limit: float = 3.0) -> DataFrame:
-    """Keep a row iff |z| < limit in every column (population std).
+    """Keep a row iff |z| < limit in every column, z with the population
+    std (exact two-pass sums).
 
-    A NULL z (NULL value or constant column) fails the test, like NaN does.
+    As with scipy's default NaN propagation, a column holding any NULL (or a
+    constant column) gives NULL z-scores, which fail the test for every row.
     """
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in cols],
-                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"__sd_{c}") for c in cols])
+    from buyerlens.operators.aggregate import exact_mean, exact_sum
+    means = df.agg(F.count(F.lit(1)).alias("__n"),
+                   *[exact_mean(f"`{c}`").alias(f"__mu_{c}") for c in cols],
+                   *[F.count(f"`{c}`").alias(f"__nn_{c}") for c in cols])
+    j = df.crossJoin(F.broadcast(means))
+    var = j.agg(*[F.first(f"__mu_{c}").alias(f"__mu_{c}") for c in cols],
+                *[F.first(f"__nn_{c}").alias(f"__nn_{c}") for c in cols],
+                F.first("__n").alias("__n"),
+                *[(exact_sum((F.col(f"`{c}`").cast("double") - F.col(f"__mu_{c}"))
+                             * (F.col(f"`{c}`").cast("double") - F.col(f"__mu_{c}"))).cast("double")
+                   / F.count(f"`{c}`")).alias(f"__var_{c}") for c in cols])
+    stats = var.select(*[F.col(f"__mu_{c}") for c in cols],
+                       *[F.when(F.col(f"__nn_{c}") == F.col("__n"), F.sqrt(f"__var_{c}"))
+                         .alias(f"__sd_{c}") for c in cols])
     keep = F.lit(True)
     for c in cols:
-        z = F.try_divide(F.col(c).cast("double") - F.col(f"__mu_{c}"), F.col(f"__sd_{c}"))
+        sd = F.col(f"__sd_{c}")
+        z = F.when(sd == 0, F.lit(None).cast("double")).otherwise(
+            (F.col(f"`{c}`").cast("double") - F.col(f"__mu_{c}")) / sd)
         keep = keep & F.coalesce(F.abs(z) < F.lit(limit), F.lit(False))
     return (df.crossJoin(F.broadcast(stats)).where(keep)
             .select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -49,7 +49,7 @@ def stratified_rank_column(df: DataFrame, stratum: str, key: str, seed, out: str
     from buyerlens.operators.window import ordered_scan
     h = "__h"
     with_h = df.withColumn(h, key_hash32(key, split_salt(seed)))
-    ranked = ordered_scan(with_h, order_by=[F.col(h).asc(), F.col(key).asc()],
+    ranked = ordered_scan(with_h, order_by=[(h, True), (key, True)],
                           partition_by=[stratum], pos_col=out)
     return ranked.drop(h)
 

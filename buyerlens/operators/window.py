@@ -32,26 +32,15 @@ from pyspark.sql import types as T
 from buyerlens.session import ensure_checkpoint_dir
 
 
-def _name_of(c) -> str:
-    if isinstance(c, str):
-        return c
-    return c._jc.expr().child().sql().strip("`") if hasattr(c, "_jc") else str(c)
-
-
 def _order_spec(order_by: Sequence) -> list[tuple[str, bool]]:
-    """[(column, ascending)] from strings or ``F.col(x).asc()/.desc()`` columns."""
+    """[(column, ascending)] from column names (ascending) or (name, asc) tuples."""
     out = []
     for c in order_by:
-        if isinstance(c, tuple):
-            out.append(c)
-        elif isinstance(c, str):
+        if isinstance(c, str):
             out.append((c, True))
         else:
-            text = str(c)
-            asc = " DESC" not in text.upper()
-            inner = c._jc.expr()
-            name = inner.child().sql() if inner.getClass().getSimpleName() == "SortOrder" else inner.sql()
-            out.append((name.strip("`"), asc))
+            name, asc = c
+            out.append((name, bool(asc)))
     return out
 
 
@@ -65,7 +54,8 @@ def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str]
     """Row number (1-based) and running sums within ``partition_by`` groups in
     the total order ``order_by``; exact and distributed.
 
-    ``order_by`` must make the order total (append the key as tie-breaker).
+    ``order_by`` is a list of column names or ``(name, ascending)`` tuples and
+    must make the order total (append the key as tie-breaker).
     Adds ``pos_col`` and ``cum_<c>`` for every ``c`` in ``sum_cols``.
     """
     spark = df.sparkSession

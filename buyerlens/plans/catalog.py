@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from buyerlens.plans import queries_eval, queries_features  # noqa: F401
+from buyerlens.plans import queries_eval, queries_features, queries_profile  # noqa: F401
 from buyerlens.plans.registry import REGISTRY
 
 
