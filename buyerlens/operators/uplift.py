@@ -109,6 +109,47 @@ def qini_curve(df: DataFrame, key: str = "ID_BUYER", model: str | None = None) -
     return out
 
 
+def qini_from_scores(df: DataFrame, score: str, key: str = "ID_BUYER",
+                     model: str | None = None) -> DataFrame:
+    """L5 + L6 fused: Qini curve straight from a score column with one
+    distributed ordered scan.
+
+    Rows are scanned in (score descending, NULLs last, key) order, which is
+    the order of the descending percentile rank with the key as tie-break.
+    The percentile rank itself needs each tie group's first position and
+    size - a per-score aggregate of the scan joined back by score.
+    """
+    base = (df.select(F.col(key), F.col("target_class"), F.col(score).alias("score"))
+            .withColumn("cr", (F.col("target_class") == 1).cast("long"))
+            .withColumn("tr", (F.col("target_class") == 3).cast("long")))
+    scan = ordered_scan(base, [("score", False), (key, True)], sum_cols=["cr", "tr"],
+                        pos_col="__pos", cum_prefix="cum_")
+    ties = (scan.where(F.col("score").isNotNull()).groupBy("score")
+            .agg(F.min("__pos").alias("__tie_first"), F.count(F.lit(1)).alias("__tie_n")))
+    totals = scan.agg(F.count_if(F.col("target_class") <= 1).alias("__C"),
+                      F.count_if(F.col("target_class") >= 2).alias("__T"),
+                      F.sum("cr").alias("__CR"), F.sum("tr").alias("__TR"),
+                      F.count("score").alias("__N"))
+    c, t = F.col("__C"), F.col("__T")
+    n = ((F.col("__tie_first") - 1).cast("double") + (F.col("__tie_n") + 1) / 2.0) / F.col("__N")
+    curve = (scan.join(ties, "score", "left").crossJoin(F.broadcast(totals))
+             .withColumn("n", n)
+             .select(key, "target_class", "n", "score", "cr", "tr",
+                     (F.col("cum_cr") / c).alias("cr_c"), (F.col("cum_tr") / t).alias("tr_t"),
+                     (F.col("cum_tr") / t - F.col("cum_cr") / c).alias("uplift"),
+                     (F.col("n") * (F.col("__TR") / t - F.col("__CR") / c)).alias("random")))
+    origin = df.sparkSession.range(1).select(
+        F.lit(None).cast("long").alias(key), F.lit(None).cast("int").alias("target_class"),
+        F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("long").alias("cr"), F.lit(None).cast("long").alias("tr"),
+        F.lit(None).cast("double").alias("cr_c"), F.lit(None).cast("double").alias("tr_t"),
+        F.lit(0.0).alias("uplift"), F.lit(None).cast("double").alias("random"))
+    out = origin.unionByName(curve)
+    if model is not None:
+        out = out.withColumn("model", F.lit(model))
+    return out
+
+
 def qini_coefficient(curve: DataFrame) -> DataFrame:
     """sum(uplift) - sum(random) over the curve rows (origin excluded),
     with exact sums."""
@@ -121,6 +162,6 @@ def qini_coefficient(curve: DataFrame) -> DataFrame:
 def evaluation_qini(pred: DataFrame, key: str = "ID_BUYER") -> DataFrame:
     """L7 ``evaluation_qini`` / ``merging_data``: both models' curves stacked
     with a ``model`` label (ETU = uplift score, ETP = outcome probability)."""
-    c = qini_curve(sorting_data(pred, "proba_REPEATER", "ETP", key).drop("model"), key, "ETP")
-    u = qini_curve(sorting_data(pred, "score_etu", "ETU", key).drop("model"), key, "ETU")
+    c = qini_from_scores(pred, "proba_REPEATER", key, "ETP")
+    u = qini_from_scores(pred, "score_etu", key, "ETU")
     return u.unionByName(c)

@@ -28,7 +28,7 @@ def xsum(c: str) -> str:
 # --------------------------------------------------------------------- D5
 @register("D5_model_table", sql=s.sql_with_model([], "SELECT * FROM d5"))
 def q_d5(spark, sf_dir):
-    return s.model_table(spark, sf_dir)
+    return s.model_table(spark, sf_dir, materialized=False)
 
 
 # --------------------------------------------------------------------- C
@@ -333,7 +333,7 @@ L6_CTES = s.uplift_ctes() + [("l5", _l5_sql("score_etu", "ETU"))] + _l6_ctes("l5
 
 def _l6_spark(spark, sf_dir, invert=False, score="score_etu"):
     pred = s.uplift_predictions(spark, sf_dir, invert=invert)
-    return up.qini_curve(up.sorting_data(pred, score, "x").drop("model"))
+    return up.qini_from_scores(pred, score)
 
 
 @register("L6_qini_curve", sql=s.sql_with_model(L6_CTES, "SELECT * FROM l6"))
@@ -374,7 +374,7 @@ def q_l8(spark, sf_dir):
     pred = s.uplift_predictions(spark, sf_dir, invert=True)
     out = None
     for model, score in (("ETU", "score_etu"), ("ETP", "proba_REPEATER")):
-        curve = up.qini_curve(up.sorting_data(pred, score, model).drop("model"))
+        curve = up.qini_from_scores(pred, score)
         row = up.qini_coefficient(curve).select(F.lit(model).alias("model"), "qini_coefficient")
         out = row if out is None else out.unionByName(row)
     return out

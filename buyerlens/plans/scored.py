@@ -15,14 +15,19 @@ from buyerlens.operators import uplift as up
 from buyerlens.plans import buyer_features as bf
 from buyerlens.plans import model_table as mt
 from buyerlens.plans.queries_features import buyer_table, buyer_table_ctes, sql_floor_days
+from buyerlens.session import materialize
 from buyerlens.sources import fixtures as fx
 
 SNAP = params.FIXTURE_SNAPSHOT
 CLASS_SALTS = ["cls0", "cls1", "cls2", "cls3"]
 
 
-def model_table(spark, sf_dir) -> DataFrame:
-    return mt.model_table(buyer_table(spark, sf_dir), SNAP)
+def model_table(spark, sf_dir, materialized: bool = True) -> DataFrame:
+    """D5 over the driver tables.  Most consumers read it from several
+    branches (train/test, statistics and their application), so it is
+    materialized once per query in the checkpoint directory."""
+    df = mt.model_table(buyer_table(spark, sf_dir), SNAP)
+    return materialize(df) if materialized else df
 
 
 def scored_binary(spark, sf_dir) -> DataFrame:

@@ -68,3 +68,16 @@ def apply_query_conf(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
         spark.conf.set(k, _CONF[k])
     ensure_checkpoint_dir(spark)
+
+
+def materialize(df):
+    """Write ``df`` to the reliable checkpoint directory and return a DataFrame
+    reading it back.
+
+    Used where one derived table feeds several branches of a plan: it is
+    computed once instead of once per branch, and its lineage is cut, so a
+    lost executor costs a re-read rather than a recomputation from the raw
+    tables.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
