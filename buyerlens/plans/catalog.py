@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from buyerlens.plans import queries_eval, queries_features, queries_profile  # noqa: F401
+from buyerlens.plans import (queries_eval, queries_features, queries_models,  # noqa: F401
+                             queries_profile)
 from buyerlens.plans.registry import REGISTRY
 
 
