@@ -156,7 +156,7 @@ def univariate_selection(train: DataFrame, cols: Sequence[str], target: str,
                          k: int = params.K_BEST) -> DataFrame:
     """F statistic of a univariate linear regression per feature,
     ``F = r^2 / (1 - r^2) * (n - 2)``, and the top ``k`` (ties by name).
-    A constant feature has a NULL F and ranks last."""
+    A constant feature has a NULL F and ranks last; |r| = 1 gives +inf."""
     m = _moments(train, cols, target)
     syy = F.col(f"ss__{target}")
     structs = []
@@ -164,7 +164,9 @@ def univariate_selection(train: DataFrame, cols: Sequence[str], target: str,
         sxx, sxy = F.col(f"ss__{c}"), F.col(f"sxy__{c}")
         r = F.when((sxx == 0) | (syy == 0), F.lit(None).cast("double")) \
              .otherwise(sxy / F.sqrt(sxx * syy))
-        f = r * r / (F.lit(1.0) - r * r) * (F.col("__n") - 2)
+        # a perfectly correlated feature has an infinite F (ranked first)
+        f = F.when(F.lit(1.0) - r * r == 0, F.lit(float("inf"))).otherwise(
+            r * r / (F.lit(1.0) - r * r) * (F.col("__n") - 2))
         structs.append(F.struct(F.lit(c).alias("column_name"), r.alias("r"), f.alias("f_score")))
     long = m.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     # one row per feature (bounded by the feature count): a plain window is fine

@@ -388,7 +388,8 @@ def _e6_sql():
     for i, c in enumerate(NUMERIC_FEATURES):
         r = f"(CASE WHEN ss{i} = 0 OR ss{t} = 0 THEN NULL ELSE sxy{i} / sqrt(ss{i} * ss{t}) END)"
         rows.append({"column_name": f"'{c}'", "r": r,
-                     "f_score": f"{r} * {r} / (CAST(1.0 AS DOUBLE) - {r} * {r}) * (n - 2)"})
+                     "f_score": f"CASE WHEN CAST(1.0 AS DOUBLE) - {r} * {r} = 0 THEN CAST('inf' AS DOUBLE) "
+                                f"ELSE {r} * {r} / (CAST(1.0 AS DOUBLE) - {r} * {r}) * (n - 2) END"})
     return s.sql_with_model(SPLIT_CTES + _moments_sql(NUMERIC_FEATURES, "CLTV"), f"""
 SELECT *, row_number() OVER (ORDER BY f_score DESC NULLS LAST, column_name) AS rank,
        row_number() OVER (ORDER BY f_score DESC NULLS LAST, column_name) <= 10 AS selected
