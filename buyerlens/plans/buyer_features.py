@@ -2,11 +2,11 @@
 
 Shuffle budget at scale (all keyed on ID_BUYER):
 
-* D1: offers pre-aggregated per buyer (1 shuffle, partial agg), joined to the
-  purchase rows; the purchase rows are reduced once to one row per
-  (buyer, 5 categorical codes) combination (1 shuffle, partial agg).  That
-  intermediate feeds both the mode computation and the buyer-level means /
-  max / first row, so the fact table is scanned once (exchange reuse).
+* D1: the purchase rows are reduced once to one row per (buyer, 5 categorical
+  codes) combination (1 shuffle, partial agg).  That intermediate feeds both
+  the mode computation and the buyer-level means / max / first row, so the
+  fact table is scanned once (exchange reuse).  Offers are pre-aggregated
+  per buyer and joined to the per-buyer result.
 * D2/D3: one ``groupBy(ID_BUYER)`` each; the table-wide latest date is a
   one-row aggregate broadcast back.
 * D4: two left joins of tables that are already hash-partitioned by
@@ -63,27 +63,35 @@ def offers_per_buyer(offers: DataFrame) -> DataFrame:
                  exact_mean("NB_TOTAL_OFFERS").alias("AVG_OFFERS")))
 
 
-def purchase_rows(purchases: DataFrame, offers: DataFrame) -> DataFrame:
-    """Row-level part of D1: labels, value, offers join, NULL-row drop, days online."""
+# Per-buyer offer columns: constant within a buyer and NULL-free after the
+# fill, so they never decide which rows the any-NULL drop removes.
+OFFER_COLUMNS = ["NB_OFFERS", "AVG_OFFERS"]
+ROW_FIRST_COLUMNS = [c for c in FIRST_COLUMNS if c not in OFFER_COLUMNS]
+
+
+def purchase_rows(purchases: DataFrame) -> DataFrame:
+    """Row-level part of D1: labels, value, NULL-row drop, days online."""
     df = purchases.select(*PURCHASE_COLUMNS)
     df = (df.withColumn("REPEATER", buyer_type_label("BUYER_TYPE"))
           .withColumn("CLTV", F.col("VALUE_PURCHASED") + F.col("VALUE_SOLD"))
           .drop("BUYER_TYPE", "VALUE_PURCHASED", "VALUE_SOLD", "VALUE_PUBLISHED"))
-    # Left join of per-buyer offers; pandas would match NULL keys to each
-    # other but those rows are dropped below anyway, so NULL keys go first.
-    df = df.where(F.col("ID_BUYER").isNotNull()).join(offers_per_buyer(offers), "ID_BUYER", "left")
-    df = df.withColumn("NB_OFFERS", F.coalesce("NB_OFFERS", F.lit(0.0))) \
-           .withColumn("AVG_OFFERS", F.coalesce("AVG_OFFERS", F.lit(0.0)))
     df = df.na.drop(how="any")
     return df.withColumn("NB_DAYS_ONLINE", floor_days_between("DATE_SOLD", "DATE_PUBLISHED"))
 
 
 def purchase_features(purchases: DataFrame, offers: DataFrame,
                       check_contract: bool = False) -> DataFrame:
-    """D1 ``data_processing_mmao_transac``: one row per buyer."""
+    """D1 ``data_processing_mmao_transac``: one row per buyer.
+
+    The offers left join (J1) is applied to the per-buyer result rather than
+    to every purchase row: the filled offer columns are constant per buyer
+    and never NULL, so the result is the same, and a buyer with a huge share
+    of the rows is reduced by map-side aggregation before any join or
+    shuffle on the buyer key.
+    """
     if check_contract:
         check_dense(purchases, PURCHASE_COLUMNS, params.NULL_RATIO_PURCHASES)
-    rows = purchase_rows(purchases, offers)
+    rows = purchase_rows(purchases)
     # Reduce to one row per (buyer, categorical combination); both branches
     # below read this aggregate, so its exchange is computed once and reused.
     combo = rows.groupBy("ID_BUYER", *MODE_COLUMNS).agg(
@@ -91,7 +99,7 @@ def purchase_features(purchases: DataFrame, offers: DataFrame,
         *[F.sum(F.col(c).cast(EXACT_DECIMAL)).alias(f"__s_{c}") for c in MEAN_COLUMNS],
         F.max("REPEATER").alias("__rep"),
         F.min(F.struct(*[F.col(c) for c in FIRST_ORDER],
-                       *[F.col(c).alias(f"__v_{c}") for c in FIRST_COLUMNS])).alias("__first"))
+                       *[F.col(c).alias(f"__v_{c}") for c in ROW_FIRST_COLUMNS])).alias("__first"))
     buyer = combo.groupBy("ID_BUYER").agg(
         F.sum("__n").alias("__n"),
         *[F.sum(f"__s_{c}").alias(f"__s_{c}") for c in MEAN_COLUMNS],
@@ -102,10 +110,14 @@ def purchase_features(purchases: DataFrame, offers: DataFrame,
     means = [(F.col(f"__s_{c}").cast("double") / F.col("__n")).alias(c) for c in MEAN_COLUMNS]
     buyer = buyer.select(
         "ID_BUYER", *means, "REPEATER",
-        *[F.col(f"__first.__v_{c}").alias(c) for c in FIRST_COLUMNS])
+        *[F.col(f"__first.__v_{c}").alias(c) for c in ROW_FIRST_COLUMNS])
     buyer = buyer.withColumn("ID_GENDER", gender_net_map("ID_GENDER"))
     modes = group_mode(combo, "ID_BUYER", MODE_COLUMNS, weight="__n")
-    return modes.join(buyer, "ID_BUYER", "inner")
+    out = (modes.join(buyer, "ID_BUYER", "inner")
+           .join(offers_per_buyer(offers), "ID_BUYER", "left")
+           .withColumn("NB_OFFERS", F.coalesce("NB_OFFERS", F.lit(0.0)))
+           .withColumn("AVG_OFFERS", F.coalesce("AVG_OFFERS", F.lit(0.0))))
+    return out.select("ID_BUYER", *MODE_COLUMNS, *MEAN_COLUMNS, "REPEATER", *FIRST_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -154,7 +166,11 @@ def activity_features(events: DataFrame, spec: ActivitySpec,
         exact_mean(spec.mean_in).alias(spec.mean_out),
         F.max(d).alias(spec.last_date),
         F.count(F.when(d >= cut, F.lit(1))).alias(spec.frequency)))
-    latest = agg.agg(F.max(spec.last_date).alias("__latest"))
+    # The latest date over buyers equals the latest dated row of a keyed buyer:
+    # a map-side max per task and a one-row merge, instead of re-running the
+    # grouped aggregation for a single scalar.
+    latest = (events.where(F.col("ID_BUYER").isNotNull())
+              .agg(F.max(d).alias("__latest")))
     out = agg.crossJoin(F.broadcast(latest)).withColumn(
         spec.recency, floor_days_between("__latest", spec.last_date)).drop("__latest")
     cols = (["ID_BUYER"] + list(spec.sums) + list(spec.distincts)

@@ -23,6 +23,11 @@ _CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Wide projections with many aliases of the same source column (the
+    # purchase rows) make constraint propagation enumerate alias combinations
+    # until the driver runs out of memory; the constraints it would infer are
+    # only IsNotNull filters that the scans and joins do not need.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -65,7 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def apply_query_conf(spark: SparkSession) -> None:
     """Session settings the operators assume; safe to call repeatedly."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
+              "spark.sql.adaptive.skewJoin.enabled",
+              "spark.sql.constraintPropagation.enabled"):
         spark.conf.set(k, _CONF[k])
     ensure_checkpoint_dir(spark)
 
