@@ -151,15 +151,19 @@ def split_features(df: DataFrame, key: str, targets: Sequence[str]) -> list[str]
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """One-row table of linear-interpolated Q1/Q3 bounds per column."""
+    """One-row table of [Q1 - f*IQR, Q3 + f*IQR] per column, from exact
+    linear-interpolated quartiles computed without a single-task merge."""
+    from buyerlens.operators.window import exact_quantiles
+    q = exact_quantiles(df, cols, [0.25, 0.75])
     aggs = []
     for c in cols:
-        q = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        aggs.append(q.alias(f"__q_{c}"))
-    qs = df.agg(*aggs)
+        is_c = F.col("column_name") == c
+        aggs += [F.max(F.when(is_c & (F.col("p") == 0.25), F.col("value"))).alias(f"__q1_{c}"),
+                 F.max(F.when(is_c & (F.col("p") == 0.75), F.col("value"))).alias(f"__q3_{c}")]
+    qs = q.agg(*aggs)
     out = []
     for c in cols:
-        q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
+        q1, q3 = F.col(f"__q1_{c}"), F.col(f"__q3_{c}")
         iqr = q3 - q1
         out += [(q1 - F.lit(factor) * iqr).alias(f"__lo_{c}"),
                 (q3 + F.lit(factor) * iqr).alias(f"__hi_{c}")]

@@ -43,9 +43,9 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
     """A12 ``describe()``: count, mean, sample std, min, quartiles, max per column.
 
     Mean and std use exact sums (two passes: the mean, then squared
-    deviations).  Quartiles are linear-interpolated; ``exact=False`` switches
-    to ``percentile_approx`` for very large columns, since the exact
-    percentile keeps a value histogram.
+    deviations).  Quartiles are exact and linear-interpolated, computed with
+    the distributed ranking of ``exact_quantiles``; ``exact=False`` uses
+    ``percentile_approx`` instead.
     """
     means = df.agg(*[(exact_sum(c).cast("double") / F.count(c)).alias(f"__mu{i}")
                      for i, c in enumerate(cols)])
@@ -54,12 +54,22 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
     for i, c in enumerate(cols):
         x = F.col(_q(c)).cast("double")
         d = x - F.col(f"__mu{i}")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000))
         aggs += [F.count(x).alias(f"__n{i}"), F.first(f"__mu{i}").alias(f"__m{i}"),
                  F.sum((d * d).cast(EXACT_DECIMAL)).cast("double").alias(f"__ss{i}"),
-                 F.min(x).alias(f"__min{i}"), q.alias(f"__q{i}"), F.max(x).alias(f"__max{i}")]
+                 F.min(x).alias(f"__min{i}"), F.max(x).alias(f"__max{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
+                                            10000).alias(f"__q{i}"))
     wide = j.agg(*aggs)
+    if exact:
+        from buyerlens.operators.window import exact_quantiles
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        qa = []
+        for i, c in enumerate(cols):
+            is_c = F.col("column_name") == c
+            qa.append(F.array(*[F.max(F.when(is_c & (F.col("p") == p), F.col("value")))
+                                for p in (0.25, 0.5, 0.75)]).alias(f"__q{i}"))
+        wide = wide.crossJoin(F.broadcast(q.agg(*qa)))
     n = len(cols)
     return _long(wide, cols, {
         "count": [F.col(f"__n{i}") for i in range(n)],
@@ -115,14 +125,18 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quartiles_by(df: DataFrame, group: str, col: str) -> DataFrame:
-    """A17 box-plot data: min, quartiles, max of ``col`` per ``group``."""
+    """A17 box-plot data: min, quartiles, max of ``col`` per ``group``
+    (exact distributed quantiles, see ``exact_quantiles``)."""
+    from buyerlens.operators.window import exact_quantiles
     x = F.col(col).cast("double")
-    return (df.groupBy(group)
-            .agg(F.min(x).alias("min"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-                 F.max(x).alias("max"), F.count(x).alias("count"))
-            .select(group, "min", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("q50"),
-                    F.col("__q")[2].alias("q75"), "max", "count"))
+    base = df.groupBy(group).agg(F.min(x).alias("min"), F.max(x).alias("max"),
+                                 F.count(x).alias("count"))
+    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75], group_cols=[group]).groupBy(group).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+          for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    # NULL groups are matched explicitly (an equi-join would drop them)
+    j = base.join(q, base[group].eqNullSafe(q[group]), "left").drop(q[group])
+    return j.select(group, "min", "q25", "q50", "q75", "max", "count")
 
 
 def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:

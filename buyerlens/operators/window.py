@@ -224,3 +224,39 @@ def argmax_first(df: DataFrame, value: str, arg: str) -> DataFrame:
 
 def partition_window(key: str) -> Window:
     return Window.partitionBy(key)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles, exact and distributed.
+
+    Spark's exact ``percentile`` merges a map of every distinct value into a
+    single buffer per group, i.e. one task holds the whole column.  Here the
+    columns are unpivoted to ``(group..., column_name, v)``, ranked within
+    each (group, column) with the ordered scan, and only the (at most two)
+    rows around each position ``p * (n - 1)`` are kept and interpolated as
+    ``lo + (hi - lo) * frac``.  NULLs are ignored.
+
+    Returns ``(group..., column_name, p, value)``.
+    """
+    groups = list(group_cols)
+    long = df.select(*[F.col(g) for g in groups], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v"))
+        for c in cols])).alias("__s")).select(*groups, "__s.column_name", "__s.v")
+    long = long.where(F.col("v").isNotNull())
+    keys = groups + ["column_name"]
+    ranked = ordered_scan(long, [("v", True)], partition_by=keys, pos_col="__pos")
+    # one row per (group, column): bounded by groups x columns
+    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    grid = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    want = (counts.crossJoin(F.broadcast(grid))
+            .withColumn("__h", F.col("p") * (F.col("__n") - 1).cast("double"))
+            .withColumn("__lo", F.floor("__h").cast("long"))
+            .withColumn("__hi", F.ceil("__h").cast("long")))
+    picks = ranked.join(want, keys, "inner").where(
+        (F.col("__pos") - 1 == F.col("__lo")) | (F.col("__pos") - 1 == F.col("__hi")))
+    agg = picks.groupBy(*keys, "p", "__h", "__lo").agg(
+        F.max(F.when(F.col("__pos") - 1 == F.col("__lo"), F.col("v"))).alias("__vlo"),
+        F.max(F.when(F.col("__pos") - 1 == F.col("__hi"), F.col("v"))).alias("__vhi"))
+    value = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__h") - F.col("__lo"))
+    return agg.select(*keys, "p", value.alias("value"))

@@ -138,3 +138,71 @@ def q_d1(spark, sf_dir):
           )
 def q_d4(spark, sf_dir):
     return buyer_table(spark, sf_dir)
+
+
+# ----------------------------------------------------------------------------
+# Single operators on the fixture views
+# ----------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from buyerlens.functions.dates import floor_days_between  # noqa: E402
+from buyerlens.operators.aggregate import group_first, group_mode, sum0, transform_by_group  # noqa: E402
+from buyerlens.operators.clean import activity_since  # noqa: E402
+
+
+@register("W1_group_transform", sql=fx.with_views(["likes"], [], """
+SELECT ID_LIKE, ID_BUYER, LIKES,
+       CAST(COALESCE(SUM(LIKES) OVER (PARTITION BY ID_BUYER), 0) AS BIGINT) AS Total_likes
+FROM likes WHERE ID_BUYER IS NOT NULL"""))
+def q_w1(spark, sf_dir):
+    lk = fx.likes(spark, sf_dir).where(F.col("ID_BUYER").isNotNull())
+    return (transform_by_group(lk.select("ID_LIKE", "ID_BUYER", "LIKES"), "ID_BUYER",
+                               {"Total_likes": sum0("LIKES")}))
+
+
+@register("P8_activity_filter", sql=fx.with_views(["likes"], [], f"""
+SELECT ID_LIKE, ID_BUYER, DATE_LIKED FROM likes
+WHERE DATE_LIKED IS NULL OR DATE_LIKED >= TIMESTAMP '{CUT}'"""))
+def q_p8(spark, sf_dir):
+    return activity_since(fx.likes(spark, sf_dir), "DATE_LIKED", CUT).select(
+        "ID_LIKE", "ID_BUYER", "DATE_LIKED")
+
+
+@register("F5_days_online", sql=fx.with_views(["purchases"], [], f"""
+SELECT ID_ORDER, ID_PRODUCT, DATE_SOLD, DATE_PUBLISHED,
+       {sql_floor_days('DATE_SOLD', 'DATE_PUBLISHED')} AS NB_DAYS_ONLINE FROM purchases"""))
+def q_f5(spark, sf_dir):
+    p = fx.purchases(spark, sf_dir)
+    return p.select("ID_ORDER", "ID_PRODUCT", "DATE_SOLD", "DATE_PUBLISHED",
+                    floor_days_between("DATE_SOLD", "DATE_PUBLISHED").alias("NB_DAYS_ONLINE"))
+
+
+def _mode_sql():
+    ctes = [("m_buyers", "SELECT DISTINCT ID_BUYER FROM purchases WHERE ID_BUYER IS NOT NULL")]
+    for c in bf.MODE_COLUMNS:
+        ctes.append((f"m_{c}", f"""SELECT ID_BUYER, v AS {c} FROM (
+  SELECT ID_BUYER, CAST({c} AS VARCHAR) AS v,
+         row_number() OVER (PARTITION BY ID_BUYER ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS rn
+  FROM purchases WHERE ID_BUYER IS NOT NULL AND {c} IS NOT NULL GROUP BY ID_BUYER, {c}) WHERE rn = 1"""))
+    joins = " ".join(f"LEFT JOIN m_{c} USING (ID_BUYER)" for c in bf.MODE_COLUMNS)
+    return fx.with_views(["purchases"], ctes,
+                         f"SELECT ID_BUYER, {', '.join(bf.MODE_COLUMNS)} FROM m_buyers {joins}")
+
+
+@register("A6_group_mode", sql=_mode_sql())
+def q_a6(spark, sf_dir):
+    p = fx.purchases(spark, sf_dir).where(F.col("ID_BUYER").isNotNull())
+    return group_mode(p, "ID_BUYER", bf.MODE_COLUMNS)
+
+
+A7_VALUES = ["PRICE_SOLD_GMV", "ID_BRAND", "NB_ITEMS"]
+
+
+@register("A7_first_row", sql=fx.with_views(["purchases"], [], f"""
+SELECT ID_BUYER, {', '.join(A7_VALUES)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY ID_BUYER
+                               ORDER BY {', '.join(bf.FIRST_ORDER + A7_VALUES)}) AS rn
+  FROM purchases WHERE ID_BUYER IS NOT NULL) WHERE rn = 1"""))
+def q_a7(spark, sf_dir):
+    p = fx.purchases(spark, sf_dir).where(F.col("ID_BUYER").isNotNull())
+    return group_first(p, "ID_BUYER", bf.FIRST_ORDER, A7_VALUES)
