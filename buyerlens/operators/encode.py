@@ -55,11 +55,13 @@ def apply_target_encoder(df: DataFrame, mapping: DataFrame, prior: DataFrame,
     """E1 apply: replace each category by its encoding; unseen or NULL
     categories get the training prior.
 
-    One equi-join per encoded column on (category); the mapping is as large
-    as the column's cardinality, so the join strategy is left to AQE, which
-    broadcasts it only when its measured size is small.
+    One equi-join per encoded column on (category).  The mapping is as large
+    as the column's cardinality: it is broadcast when counted small
+    (``broadcast_if_small``) and shuffle-joined otherwise.
     """
+    from buyerlens.operators.joins import broadcast_if_small
     out = df.crossJoin(F.broadcast(prior.select(F.col("prior").alias("__prior"))))
+    mapping = broadcast_if_small(mapping)
     for c in cols:
         m = (mapping.where(F.col("column_name") == c)
              .select(F.col("category").alias(f"__cat_{c}"), F.col("encoded").alias(f"__enc_{c}")))
@@ -172,5 +174,5 @@ def univariate_selection(train: DataFrame, cols: Sequence[str], target: str,
     # one row per feature (bounded by the feature count): a plain window is fine
     from pyspark.sql import Window
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("column_name"))
-    return long.withColumn("rank", F.row_number().over(w)).withColumn(
+    return long.withColumn("rank", F.row_number().over(w).cast("long")).withColumn(
         "selected", F.col("rank") <= F.lit(k))

@@ -1,0 +1,38 @@
+"""Join helpers.
+
+Every join in the pipeline is an equi-join on a key.  A side is broadcast
+only when its size is known to be small: either it is a one-row aggregate,
+or ``broadcast_if_small`` has counted it.  Otherwise the join is a shuffle
+join and AQE may still convert it at runtime from measured sizes, or split
+skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from buyerlens.session import materialize
+
+# Row limit under which a fitted side table is broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Materialize ``df`` (it is read twice: to count, then to join), count
+    it, and mark it for broadcast only when it has at most ``max_rows`` rows."""
+    m = materialize(df)
+    return F.broadcast(m) if m.count() <= max_rows else m
+
+
+def left_join_filled(left: DataFrame, right: DataFrame, key: str, fills: dict) -> DataFrame:
+    """Left join on a key, then fill the right side's NULLs."""
+    out = left.join(right, key, "left")
+    for c, v in fills.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return out
+
+
+def lookup(keys: DataFrame, table: DataFrame, key: str, cols) -> DataFrame:
+    """Values of ``cols`` for the given keys (inner join on the key),
+    the distributed form of ``df.loc[ids, cols]``."""
+    return keys.select(key).join(table.select(key, *cols), key, "inner")

@@ -71,7 +71,8 @@ def sorting_data(df: DataFrame, score: str, model: str, key: str = "ID_BUYER") -
     descending with average ties (W2); rows ordered by it, key as tie-break."""
     ranked = pct_rank_desc(df.select(key, "target_class", F.col(score).alias("score")),
                            "score", out="n")
-    return ranked.withColumn("model", F.lit(model))
+    return (ranked.withColumn("model", F.lit(model))
+            .orderBy(F.asc_nulls_last("n"), F.asc(key)))
 
 
 def qini_curve(df: DataFrame, key: str = "ID_BUYER", model: str | None = None) -> DataFrame:
@@ -147,7 +148,7 @@ def qini_from_scores(df: DataFrame, score: str, key: str = "ID_BUYER",
     out = origin.unionByName(curve)
     if model is not None:
         out = out.withColumn("model", F.lit(model))
-    return out
+    return out.orderBy(F.asc_nulls_last("n"), F.asc_nulls_first(key))
 
 
 def qini_coefficient(curve: DataFrame) -> DataFrame:
@@ -164,4 +165,4 @@ def evaluation_qini(pred: DataFrame, key: str = "ID_BUYER") -> DataFrame:
     with a ``model`` label (ETU = uplift score, ETP = outcome probability)."""
     c = qini_from_scores(pred, "proba_REPEATER", key, "ETP")
     u = qini_from_scores(pred, "score_etu", key, "ETU")
-    return u.unionByName(c)
+    return u.unionByName(c).orderBy(F.asc_nulls_last("n"), "model", F.asc_nulls_first(key))
