@@ -5,7 +5,7 @@ A single projection over the buyer table - no shuffle of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from buyerlens import params
 from buyerlens.functions.dates import days_since, floor_days_between
@@ -69,5 +69,3 @@ def with_fixed_scores(df: DataFrame, seed: int = 42) -> DataFrame:
     from buyerlens.functions.hashing import key_fraction
     return df.withColumn("score", key_fraction("ID_BUYER", seed))
 
-
-__all__ = ["model_table", "feature_columns", "with_fixed_scores", "DROP_FOR_MODEL", "F"]

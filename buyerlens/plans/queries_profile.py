@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from buyerlens.functions.hashing import key_fraction
 from buyerlens.operators import clean as cl
 from buyerlens.operators import encode as en
 from buyerlens.operators import profile as pr
@@ -401,5 +398,3 @@ def q_e6(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     return en.univariate_selection(train, NUMERIC_FEATURES, "CLTV", 10)
 
-
-__all__ = ["key_fraction", "F"]

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from buyerlens import params
 from buyerlens.functions.hashing import key_fraction
 from buyerlens.operators import uplift as up
-from buyerlens.plans import buyer_features as bf
 from buyerlens.plans import model_table as mt
 from buyerlens.plans.queries_features import buyer_table, buyer_table_ctes, sql_floor_days
 from buyerlens.session import materialize
@@ -123,6 +122,3 @@ def uplift_ctes(invert: bool = False, convention: str = "as_coded"):
 FROM u_prob"""),
     ]
 
-
-__all__ = ["model_table", "scored_binary", "uplift_predictions", "model_table_ctes",
-           "sql_with_model", "SCORED_CTE", "uplift_ctes", "bf"]

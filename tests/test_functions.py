@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from buyerlens.functions.dates import days_since, floor_days_between
 from buyerlens.functions.hashing import key_bit, key_fraction
 from buyerlens.functions.maps import buyer_type_label, gender_net_map, ordinal_segment, swap_binary

@@ -1,8 +1,6 @@
 """Registered queries against their DuckDB oracles on the smallest tables,
 and the driver contract of __spark_entry__."""
 
-import math
-
 import duckdb
 import pandas as pd
 import pytest
