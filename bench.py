@@ -5,7 +5,7 @@ collected) on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` and prints one
 JSON line with the median wall time per query.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_REPEATS (default 3, after one warm-up), BENCH_QUERIES (comma list).
+     BENCH_REPEATS (default 5, after one warm-up), BENCH_QUERIES (comma list).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
 
     from buyerlens.plans.catalog import all_queries

@@ -23,6 +23,8 @@ _CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # delete checkpoint files in the shared folder once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Wide projections with many aliases of the same source column (the
     # purchase rows) make constraint propagation enumerate alias combinations
     # until the driver runs out of memory; the constraints it would infer are
