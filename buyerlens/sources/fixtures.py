@@ -59,11 +59,18 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lo = li.join(orders, li.l_orderkey == orders.o_orderkey)
     # Buyer-level dates: aggregate then join back (no per-buyer window, which
-    # would put a hot buyer's rows into one task).
-    buyer = (lo.groupBy("o_custkey")
+    # would put a hot buyer's rows into one task).  The latest ship date per
+    # buyer is the latest of its orders' latest ship dates, so lineitem is
+    # reduced per order first and only the order-sized result meets orders;
+    # the inner join keeps exactly the orders that have lineitems.
+    per_order = li.groupBy(F.col("l_orderkey").alias("po_orderkey")).agg(
+        F.max("l_shipdate").alias("po_ship"))
+    buyer = (per_order.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
+                            F.col("po_orderkey") == F.col("o_orderkey"))
+             .groupBy("o_custkey")
              .agg(F.min("o_orderdate").alias("first_order"),
                   F.max("o_orderdate").alias("last_order"),
-                  F.max("l_shipdate").alias("last_ship"))
+                  F.max("po_ship").alias("last_ship"))
              .join(cust, F.col("o_custkey") == F.col("c_custkey"))
              .drop("o_custkey"))
     seg = F.create_map(*[F.lit(x) for kv in MKT_SEGMENT_MAP.items() for x in kv])
