@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+TIMESTAMP_CSV_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                    header: bool = True, timestamp_format: str | None = None) -> DataFrame:
     reader = (spark.read.schema(schema).option("header", header).option("sep", sep)
@@ -56,7 +59,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("sep", sep).csv(path)
+        # full microsecond precision (Spark's default CSV format keeps milliseconds)
+        (w.option("header", True).option("sep", sep)
+         .option("timestampFormat", TIMESTAMP_CSV_FORMAT)
+         .option("timestampNTZFormat", TIMESTAMP_CSV_FORMAT).csv(path))
     else:
         raise ValueError(f"unsupported format {fmt!r}")
 
@@ -69,3 +75,31 @@ def save_predictions(df: DataFrame, path: str, key: str = "ID_BUYER",
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_logical(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
+                 null_ratio: float | None = None) -> DataFrame:
+    """Read a raw export by header name and cast to a logical schema.
+
+    Exports carry more columns than the pipeline keeps, so the file is read
+    with every column as a string (no inference pass), the required columns
+    are checked and selected by name (P1), and each is cast explicitly; an
+    unparsable value fails the job under ANSI (F4).  With ``null_ratio`` the
+    required columns must also be dense enough (the sparse-column contract).
+    """
+    from pyspark.sql import functions as F
+
+    from buyerlens.operators.clean import check_dense, select_required
+    raw = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").csv(path)
+    names = [f.name for f in schema.fields]
+    df = select_required(raw, names)
+    if null_ratio is not None:
+        check_dense(df, names, null_ratio)
+    cols = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType):
+            cols.append(F.to_timestamp(c).alias(f.name))
+        else:
+            cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
