@@ -48,3 +48,24 @@ def test_pct_rank_null_score(spark):
 def test_argmax_first_wins(spark):
     df = spark.createDataFrame([(0.1, 0.5), (0.2, 0.7), (0.3, 0.7)], "t double, f1 double")
     assert argmax_first(df, "f1", "t").first()["t"] == 0.2
+
+
+def test_scan_carries_state_across_arrow_batches(spark):
+    """Small Arrow batches force groups and running sums to span batches."""
+    random.seed(9)
+    rows = [(i, random.choice([0, 1]), float(random.randint(0, 5)), random.random())
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, g int, v double, x double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = ordered_scan(df, [("v", True), ("k", True)], partition_by=["g"], sum_cols=["x"],
+                           num_partitions=3)
+        w = Window.partitionBy("g").orderBy("v", "k")
+        ref = df.select("k", F.row_number().over(w).alias("rp"),
+                        F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rc"))
+        bad = out.join(ref, "k").where((F.col("_pos") != F.col("rp"))
+                                       | (F.abs(F.col("cum_x") - F.col("rc")) > 1e-9))
+        assert out.count() == 3000 and bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
