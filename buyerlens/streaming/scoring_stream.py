@@ -33,8 +33,11 @@ def start_scoring_stream(spark: SparkSession, input_dir: str, schema: T.StructTy
                          file_format: str = "parquet"):
     """Start the streaming scoring query and return its handle."""
     reader = spark.readStream.schema(schema)
+    # CSV uploads: header names are checked against the schema instead of
+    # mapping columns by position (a reordered file fails instead of
+    # silently shifting values).
     stream = reader.parquet(input_dir) if file_format == "parquet" else \
-        reader.option("header", True).csv(input_dir)
+        reader.option("header", True).option("enforceSchema", False).csv(input_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         p = apply_target(spark, batch, repeater_path, features, "repeater_pred_proba", True)

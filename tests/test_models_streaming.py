@@ -43,3 +43,19 @@ def test_streaming_scoring(spark, sf001):
     out = spark.read.parquet(os.path.join(root, "out"))
     assert out.count() == 60
     assert out.agg(F.max("Composite_Score")).first()[0] <= 1.0 + 1e-9
+
+
+def test_streaming_scoring_csv_upload(spark, sf001):
+    from buyerlens.sources import files
+    m = s.model_table(spark, sf001)
+    root = tempfile.mkdtemp()
+    feats = fit_target(m, "REPEATER", os.path.join(root, "rep"), max_iter=3)
+    fit_target(m, "CLTV", os.path.join(root, "cltv"), max_iter=3)
+    inbox = os.path.join(root, "inbox")
+    files.write_table(m.limit(40), inbox, fmt="csv")
+    q = start_scoring_stream(spark, inbox, m.schema, os.path.join(root, "rep"),
+                             os.path.join(root, "cltv"), feats, os.path.join(root, "out"),
+                             os.path.join(root, "ckpt"), value_range=(0.0, 1e6),
+                             file_format="csv")
+    q.awaitTermination(120)
+    assert spark.read.parquet(os.path.join(root, "out")).count() == 40
