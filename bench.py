@@ -15,7 +15,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -39,8 +38,6 @@ def main() -> None:
              "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024)}
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8),
                         app_name="buyerlens-bench", extra=extra)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-ckpt-"))
     qs = all_queries()
     timings = {}
     for name in names:

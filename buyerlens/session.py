@@ -8,7 +8,10 @@ do we fill in a default.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,9 +56,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, configuring it if needed.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  A private temporary folder is created only when nothing is set, which
-    happens in local tests.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver
+    and all executors share; it is used as is and its absence is an error.
+    Only a single-JVM ``local`` master, as in tests, gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         configured = tempfile.mkdtemp(prefix="buyerlens-ckpt-")
     if "://" not in configured:
         os.makedirs(configured, exist_ok=True)
@@ -70,6 +75,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per context, so that
+    functions shipped to Python workers import it wherever the driver started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_buyerlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="buyerlens-src-"), "buyerlens_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("buyerlens", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._buyerlens_shipped = True
+
+
+def write_shared(df, partitions: int | None = None):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Lineage is cut: a lost executor costs a re-read.  Readers prune columns.
+    The files are deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    if partitions:
+        df = df.coalesce(partitions)
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def apply_query_conf(spark: SparkSession) -> None:
     """Session settings the operators assume; safe to call repeatedly."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
@@ -77,6 +117,7 @@ def apply_query_conf(spark: SparkSession) -> None:
               "spark.sql.constraintPropagation.enabled"):
         spark.conf.set(k, _CONF[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def materialize(df):
