@@ -10,6 +10,12 @@ with fewer shared pairs are skipped.  Collisions of the remaining candidate
 pairs are counted on whole signatures; pairs at or above ``matches`` are
 confirmed on the full shingle sets.
 
+Pairs are met inside tasks and bounded before they become rows: the shingles of
+a class are counted in ``SKETCH`` hash buckets, and the sum of the bucket-wise
+minima of two classes is at least their intersection.  Pairs whose bound stays
+below the threshold are not made, so near copies that differ too much cost
+neither rows nor shuffles.
+
 A posting list never emits all its pairs.  Per round, a few members outside
 the list's largest component are compared with the members of other
 components; lists that became one component are skipped, and the loop ends
@@ -34,6 +40,12 @@ from buyerlens.llm.text import U64, column_bytes, grams, mix, row_groups, words
 from buyerlens.session import write_shared
 
 COORDS, MATCHES = 36, 16
+SKETCH_BITS = 8
+SKETCH = 1 << SKETCH_BITS
+#: Members of a posting list that one group of a task sees, on average.
+LIST_ROWS = 1000
+#: Leaders of a list per round after the first.
+LEADERS = 512
 
 
 def shingle_sets(data, offsets, k: int):
@@ -89,6 +101,42 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
 
 
+def _sketches(batches):
+    for batch in batches:
+        out = [np.bincount((np.frombuffer(s.as_buffer(), np.uint64) >> U64(64 - SKETCH_BITS)).astype(np.int64),
+                           minlength=SKETCH).astype(np.uint32).tobytes() for s in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "sketch"])
+
+
+def _meet(batches, percent: int):
+    """Pairs of a leader and a member of one posting list, in different components, whose bound reaches
+    the threshold.  Rows come sorted by list, leaders first; leaders are held, members streamed."""
+    group, held = None, None
+    for batch in batches:
+        key, member = np.asarray(batch.column("list")), np.asarray(batch.column("member"))
+        ids, part = np.asarray(batch.column("id")), np.asarray(batch.column("component"))
+        size = np.asarray(batch.column("n"))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        out_a, out_b = [], []
+        edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (member[1:] != member[:-1])) + 1, [len(key)]])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            if key[lo] != group:
+                group, held = key[lo], None
+            now = (ids[lo:hi], part[lo:hi], size[lo:hi], sketch[lo:hi])
+            if not member[lo]:
+                held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            elif held is not None:
+                for i, p, n, s in zip(*held):
+                    both = np.minimum(now[3], s).sum(axis=1, dtype=np.int64)
+                    hit = (now[1] != p) & (100 * both >= percent * (now[2] + n - both))
+                    out_a.append(np.minimum(now[0][hit], i))
+                    out_b.append(np.maximum(now[0][hit], i))
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
 def _confirm(batches, percent: int):
     """Keep pairs with 100 * |intersection| >= percent * |union|."""
     for batch in batches:
@@ -143,17 +191,19 @@ def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int, matc
     sets = write_shared(base.join(ids, base.doc_id == ids.id, "left_semi")
                         .mapInArrow(partial(_sets, k=shingle), "id long, set binary").distinct())
     sigs = write_shared(classes.join(ids, "id", "left_semi").select("id", "sig").distinct())
-    comp = done = tested = None
+    sketches = write_shared(sets.mapInArrow(_sketches, "id long, sketch binary"))
+    comp = done = None
     width = 1
     while True:
         state = posts.withColumn("component", F.col("id")) if comp is None else \
             posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         top = (state.groupBy(*key, "component").agg(F.count("*").alias("m"))
                .groupBy(key).agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("x"),
-                                 F.count("*").alias("parts"))
-               .filter("parts > 1").select(*key, (-F.col("x.c")).alias("top")))
+                                 F.sum("m").alias("size"), F.count("*").alias("parts"))
+               .filter("parts > 1").select(*key, (-F.col("x.c")).alias("top"),
+                                           F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("salts")))
         state = write_shared(state.join(top, key))
-        lead = state.filter("component <> top").select(*key, "id", "n", "component")
+        lead = state.filter("component <> top").select(*key, "id", "n", "component", "salts")
         if done is not None:
             lead = lead.join(done, [*key, "id"], "left_anti")
         order = Window.partitionBy(*key).orderBy("id")
@@ -161,15 +211,13 @@ def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int, matc
         if not lead.take(1):
             return comp
         done = lead.select(*key, "id") if done is None else done.unionAll(lead.select(*key, "id"))
-        near = (state.join(lead.select(*key, F.col("id").alias("l"), F.col("n").alias("ln"),
-                                       F.col("component").alias("lc")), key)
-                .filter((F.col("component") != F.col("lc"))
-                        & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
-                .select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct())
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = write_shared(near)
-        tested = near if tested is None else tested.unionAll(near)
+        listed = ["id", "n", "component"]
+        rows = state.select(*listed, F.xxhash64(*key, F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("list"),
+                            F.lit(True).alias("member")).unionAll(
+            lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+                *listed, F.xxhash64(*key, "salt").alias("list"), F.lit(False).alias("member")))
+        near = write_shared(rows.join(sketches, "id").repartition("list").sortWithinPartitions("list", "member")
+                            .mapInArrow(partial(_meet, percent=percent), "a long, b long").distinct())
         collide = F.expr("aggregate(zip_with(ga, gb, (x, y) -> int(x = y)), 0, (s, v) -> s + v)")
         counted = (near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
                    .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b")
@@ -181,7 +229,7 @@ def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int, matc
             if comp is not None:
                 linked = linked.unionAll(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
             comp = write_shared(components(linked))
-        width = min(8 * width, 512)
+        width = LEADERS
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

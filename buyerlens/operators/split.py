@@ -60,9 +60,9 @@ def stratified_split(df: DataFrame, stratum: str, key: str = "ID_BUYER",
     """Stratified split; in each stratum the ``ceil(share * n)`` rows with
     the smallest key hash form the test side (exact per-stratum counts)."""
     ranked = stratified_rank_column(df, stratum, key, seed, "__rn")
-    counts = ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("__cnt"))
-    # one row per stratum: bounded by the number of strata
-    res = ranked.join(F.broadcast(counts), stratum, "left")
+    counts = ranked.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__cnt"))
+    # NULL is a stratum like any other
+    res = ranked.join(counts, F.col(stratum).eqNullSafe(F.col("__s")), "left").drop("__s")
     res = res.withColumn(out, (F.col("__rn") <= F.ceil(F.lit(test_share) * F.col("__cnt"))).cast("int"))
     return res.drop("__rn", "__cnt")
 
@@ -78,10 +78,10 @@ def stratified_kfold(df: DataFrame, label: str, k: int = params.FOLDS_CLASSIFIER
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """``is_unbalance``-style weights ``n / (n_classes * n_class)``.
 
-    The per-class counts table has one row per class (bounded), broadcast back.
+    NULL counts as a class of its own.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    counts = df.groupBy(F.col(label).alias("__c")).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
     w = counts.crossJoin(tot).select(
-        label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+        "__c", (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
+    return df.join(w, F.col(label).eqNullSafe(F.col("__c")), "left").drop("__c")

@@ -14,8 +14,9 @@ An un-partitioned ``Window.orderBy`` moves every row into one task.  Instead,
 3. collects one summary row per partition (first/last group, row count and
    column sums of the boundary groups) - bounded by the partition count, like
    ``zipWithIndex`` - and turns it into per-partition start offsets;
-4. runs a vectorised per-partition scan (Arrow batches via ``mapInPandas``)
-   that adds the offsets.
+4. runs a vectorised per-partition scan (Arrow batches via ``mapInArrow``)
+   that adds the offsets.  Columns pass through as Arrow arrays, so long and
+   decimal values are kept as they are, and NULL is a group of its own.
 
 Only the boundary-group offsets travel to the driver; rows never do.
 """
@@ -26,10 +27,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from buyerlens.session import ensure_checkpoint_dir
+from buyerlens.session import ensure_checkpoint_dir, ship_package
 
 
 def _order_spec(order_by: Sequence) -> list[tuple[str, bool]]:
@@ -60,6 +64,7 @@ def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str]
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     spec = _order_spec(order_by)
     groups = list(partition_by)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -77,18 +82,18 @@ def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str]
 
     def part_stats(it):
         state = _ScanState(groups, sums, None)
-        for pdf in it:
-            state.run(pdf)
+        for batch in it:
+            state.run(batch)
         if state.pid is None:
             return
         rec = {"pid": state.pid, "rows": state.rows, "first_key": state.first_key,
                "last_key": state.key, "last_n": state.n}
-        rec.update({f"last_s{j}": v for j, v in enumerate(state.s)})
-        yield pd.DataFrame([rec], columns=[f.name for f in stat_schema.fields])
+        rec.update({f"last_s{j}": float(v) for j, v in enumerate(state.s)})
+        yield pa.RecordBatch.from_pylist([rec], to_arrow_schema(stat_schema))
 
     # One summary row per non-empty partition: bounded metadata, the same
     # pattern zipWithIndex uses.
-    stats = sorted(ranged.mapInPandas(part_stats, stat_schema).collect(), key=lambda r: r["pid"])
+    stats = sorted(ranged.mapInArrow(part_stats, stat_schema).collect(), key=lambda r: r["pid"])
     offsets = {}
     carry_key, carry_n, carry_s = None, 0, [0.0] * len(sums)
     for r in stats:
@@ -106,16 +111,32 @@ def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str]
     out_schema = T.StructType(out_fields + [T.StructField(pos_col, T.LongType())]
                               + [T.StructField(cum_prefix + c, T.DoubleType()) for c in sums])
     offsets_b = spark.sparkContext.broadcast(offsets)
-    out_names = [f.name for f in out_schema.fields]
 
     def scan(it):
         state = _ScanState(groups, sums, offsets_b.value)
-        for pdf in it:
-            res = state.run(pdf, pos_col, cum_prefix)
-            if res is not None:
-                yield res[out_names]
-
-    return ranged.mapInPandas(scan, out_schema)
+        for batch in it:
+            if batch.num_rows:
+                pos, cums = state.run(batch)
+                names = [n for n in batch.schema.names if n != "__pid"]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(n) for n in names] + [pa.array(pos)] + [pa.array(c, pa.float64()) for c in cums],
+                    names + [pos_col] + [cum_prefix + c for c in sums])
+
+    return ranged.mapInArrow(scan, out_schema)
+
+
+def _changed(batch: pa.RecordBatch, groups) -> np.ndarray:
+    """Whether each row's group differs from the row before it; NULL equals NULL and NaN equals NaN."""
+    out = np.ones(batch.num_rows, dtype=bool)
+    out[1:] = False
+    for g in groups:
+        a, b = batch.column(g).slice(1), batch.column(g).slice(0, batch.num_rows - 1)
+        differs = pc.not_equal(a, b)
+        if pa.types.is_floating(a.type):
+            differs = pc.and_(differs, pc.invert(pc.and_(pc.is_nan(a), pc.is_nan(b))))
+        differs = pc.or_(pc.fill_null(differs, False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out[1:] |= np.asarray(differs)
+    return out
 
 
 class _ScanState:
@@ -125,47 +146,45 @@ class _ScanState:
     def __init__(self, groups, sums, offsets):
         self.groups, self.sums, self.offsets = groups, sums, offsets
         self.pid, self.rows, self.first_key = None, 0, None
-        self.key, self.n, self.s = None, 0, [0.0] * len(sums)
+        self.key, self.n, self.s = None, 0, [0] * len(sums)
 
-    def _keys(self, pdf):
-        if not self.groups:
-            return pd.Series([""] * len(pdf), index=pdf.index)
-        g = pdf[self.groups].astype(str)
-        return g.agg("\x1f".join, axis=1) if len(self.groups) > 1 else g.iloc[:, 0]
+    def _key(self, batch, row) -> str:
+        return repr(tuple(batch.column(g)[row].as_py() for g in self.groups))
 
-    def run(self, pdf, pos_col=None, cum_prefix="cum_"):
-        if pdf.empty:
+    def run(self, batch):
+        """Positions and running sums of the batch's rows; integer columns are summed exactly."""
+        n = batch.num_rows
+        if n == 0:
             return None
-        keys = self._keys(pdf).to_numpy()
+        first = self._key(batch, 0)
         if self.pid is None:
-            self.pid = int(pdf["__pid"].iloc[0])
-            self.first_key = keys[0]
-            self.key = keys[0]
+            self.pid = batch.column("__pid")[0].as_py()
+            self.first_key = self.key = first
             if self.offsets is not None:
-                n0, s0 = self.offsets.get(self.pid, (0, [0.0] * len(self.sums)))
-                self.n, self.s = n0, list(s0)
-        change = np.empty(len(keys), dtype=bool)
-        change[0] = keys[0] != self.key
-        change[1:] = keys[1:] != keys[:-1]
+                self.n, s0 = self.offsets.get(self.pid, (0, [0] * len(self.sums)))
+                self.s = list(s0)
+        change = _changed(batch, self.groups)
+        change[0] = first != self.key
         gid = np.cumsum(change)
+        start = np.concatenate([[0], np.flatnonzero(change[1:]) + 1])
+        begin = start[gid - gid[0]]
         cont = gid == 0                      # rows continuing the carried group
-        pos = pd.Series(np.ones(len(keys), dtype=np.int64)).groupby(gid).cumsum().to_numpy()
-        pos = pos + np.where(cont, self.n, 0)
+        pos = np.arange(1, n + 1) - begin + np.where(cont, self.n, 0)
         cums = []
         for j, c in enumerate(self.sums):
-            v = pdf[c].fillna(0).to_numpy(dtype=np.float64)
-            cs = pd.Series(v).groupby(gid).cumsum().to_numpy() + np.where(cont, self.s[j], 0.0)
+            col = batch.column(c)
+            if pa.types.is_integer(col.type) or pa.types.is_boolean(col.type):
+                v = np.asarray(pc.fill_null(col.cast(pa.int64()), 0))
+                total = np.concatenate([[0], np.cumsum(v)])
+                cs = total[1:] - total[begin] + np.where(cont, int(self.s[j]), 0)
+            else:
+                v = np.asarray(pc.fill_null(col.cast(pa.float64()), 0.0))
+                cs = pd.Series(v).groupby(gid).cumsum().to_numpy() + np.where(cont, self.s[j], 0.0)
             cums.append(cs)
-        self.rows += len(keys)
-        self.key, self.n = keys[-1], int(pos[-1])
-        self.s = [float(cs[-1]) for cs in cums]
-        if pos_col is None:
-            return None
-        res = pdf.drop(columns=["__pid"])
-        res[pos_col] = pos
-        for j, c in enumerate(self.sums):
-            res[cum_prefix + c] = cums[j]
-        return res
+        self.rows += n
+        self.key, self.n = self._key(batch, n - 1), int(pos[-1])
+        self.s = [cs[-1].item() for cs in cums]
+        return pos.astype(np.int64), cums
 
 
 # ---------------------------------------------------------------------------
