@@ -25,7 +25,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
             low.select(F.col("v").alias("a"), F.col("m").alias("b")))
     else:
         moved = joined.filter("w > v").select(F.col("w").alias("a"), F.col("m").alias("b"))
-    return moved.filter("a <> b").distinct()
+    moved = moved.filter("a <> b")
+    return moved.distinct() if small else moved
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,12 +16,11 @@ minima of two classes is at least their intersection.  Pairs whose bound stays
 below the threshold are not made, so near copies that differ too much cost
 neither rows nor shuffles.
 
-A posting list never emits all its pairs.  Per round, a few members outside
-the list's largest component are compared with the members of other
-components; lists that became one component are skipped, and the loop ends
-when every list is one component or all members outside its largest component
-have been compared.  So a group of m near copies costs about m comparisons,
-while no link between two components is left unchecked.
+A posting list does not compare all its pairs.  First every member meets the
+list's smallest id.  Then the members outside the list's largest component meet
+the members of other components; lists that became one component are skipped.
+So a group of m near copies costs about m comparisons, while no link between
+two components is left unchecked.
 
 A link of Jaccard 0.8 is missed only if fewer than ``matches`` of ``coords``
 coordinates agree (16 of 36: about 1e-6).
@@ -33,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from buyerlens.llm.graph import components
 from buyerlens.llm.text import U64, column_bytes, grams, mix, row_groups, words
@@ -44,7 +43,7 @@ SKETCH_BITS = 8
 SKETCH = 1 << SKETCH_BITS
 #: Members of a posting list that one group of a task sees, on average.
 LIST_ROWS = 1000
-#: Leaders of a list per round after the first.
+#: Leaders that one group of a task holds, on average.
 LEADERS = 512
 
 
@@ -93,30 +92,32 @@ def _sign(batches, k: int, coords: int):
             pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
 
-def _sets(batches, k: int):
+def _sets(batches, k: int, coords: int):
+    """Set, signature and bucket counts of each posted class."""
     for batch in batches:
         data, offsets = column_bytes(batch.column("text"))
-        out = [s.tobytes() for i, j in row_groups(offsets)
-               for s in shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], k)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
-
-
-def _sketches(batches):
-    for batch in batches:
-        out = [np.bincount((np.frombuffer(s.as_buffer(), np.uint64) >> U64(64 - SKETCH_BITS)).astype(np.int64),
-                           minlength=SKETCH).astype(np.uint32).tobytes() for s in batch.column("set")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "sketch"])
+        sets = [s for i, j in row_groups(offsets)
+                for s in shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], k)]
+        counts = [np.bincount((s >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH).astype(np.uint32) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()),
+             pa.array([signature(s, coords).tobytes() for s in sets], pa.binary()),
+             pa.array([c.tobytes() for c in counts], pa.binary())], ["id", "set", "sig", "sketch"])
 
 
 def _meet(batches, percent: int):
     """Pairs of a leader and a member of one posting list, in different components, whose bound reaches
-    the threshold.  Rows come sorted by list, leaders first; leaders are held, members streamed."""
+    the threshold.  Rows come sorted by list, leaders first; leaders are held, members streamed.  If rows
+    name the tokens they post, a pair is made only in the list of the smallest token both post."""
     group, held = None, None
     for batch in batches:
         key, member = np.asarray(batch.column("list")), np.asarray(batch.column("member"))
         ids, part = np.asarray(batch.column("id")), np.asarray(batch.column("component"))
         size = np.asarray(batch.column("n"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        token, posted = np.asarray(batch.column("token")), np.empty(len(key), object)
+        for r, t in enumerate(batch.column("posted").to_pylist()):
+            posted[r] = t
         out_a, out_b = [], []
         edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (member[1:] != member[:-1])) + 1, [len(key)]])
         for lo, hi in zip(edges[:-1], edges[1:]):
@@ -124,24 +125,31 @@ def _meet(batches, percent: int):
                 continue
             if key[lo] != group:
                 group, held = key[lo], None
-            now = (ids[lo:hi], part[lo:hi], size[lo:hi], sketch[lo:hi])
+            now = (ids[lo:hi], part[lo:hi], size[lo:hi], sketch[lo:hi], posted[lo:hi])
             if not member[lo]:
                 held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             elif held is not None:
-                for i, p, n, s in zip(*held):
+                for i, p, n, s, t in zip(*held):
                     both = np.minimum(now[3], s).sum(axis=1, dtype=np.int64)
                     hit = (now[1] != p) & (100 * both >= percent * (now[2] + n - both))
+                    if t is not None and hit.any():
+                        hit = np.flatnonzero(hit)
+                        t = set(t)
+                        hit = hit[[min(t.intersection(x)) == token[lo] for x in now[4][hit]]]
                     out_a.append(np.minimum(now[0][hit], i))
                     out_b.append(np.maximum(now[0][hit], i))
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
 
-def _confirm(batches, percent: int):
-    """Keep pairs with 100 * |intersection| >= percent * |union|."""
+def _confirm(batches, percent: int, matches: int):
+    """Pairs with ``matches`` equal coordinates at least and 100 * |intersection| >= percent * |union|."""
     for batch in batches:
         keep = []
-        for sa, sb in zip(batch.column("sa"), batch.column("sb")):
+        for ga, gb, sa, sb in zip(*(batch.column(c) for c in ("ga", "gb", "sa", "sb"))):
+            if (np.frombuffer(ga.as_buffer(), np.int32) == np.frombuffer(gb.as_buffer(), np.int32)).sum() < matches:
+                keep.append(False)
+                continue
             x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -166,17 +174,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80,
         "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"))
     classes = write_shared(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    links = _links(base, classes, shingle, percent, matches)
+    links = _links(base, classes, shingle, percent, coords, matches)
     found = rows.drop("sig").join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left")
-    found = found.join(links, "id", "left") if links is not None else found.withColumn("component", F.lit(None))
+    found = found.join(links, "id", "left")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     low = F.when(known, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", low.cast("long").alias("component_id"),
                         F.coalesce(F.col("doc_id") == low, F.lit(True)).alias("kept"))
 
 
-def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int, matches: int) -> DataFrame | None:
-    """``(id, component)`` of the classes that link with another one; None if there are none."""
+def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int,
+           coords: int, matches: int) -> DataFrame:
+    """``(id, component)`` of the classes that link with another one."""
     key = ["pos", "val"]
     tokens = classes.select("id", "n", F.posexplode("sig").alias("pos", "val"))
     often = tokens.groupBy(key).agg(F.count("*").alias("df")).filter("df > 1")
@@ -188,48 +197,47 @@ def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int, matc
     posts = write_shared(posts)
     posts = write_shared(posts.join(posts.groupBy(key).count().filter("count > 1").select(key), key))
     ids = posts.select("id").distinct()
-    sets = write_shared(base.join(ids, base.doc_id == ids.id, "left_semi")
-                        .mapInArrow(partial(_sets, k=shingle), "id long, set binary").distinct())
-    sigs = write_shared(classes.join(ids, "id", "left_semi").select("id", "sig").distinct())
-    sketches = write_shared(sets.mapInArrow(_sketches, "id long, sketch binary"))
-    comp = done = None
-    width = 1
-    while True:
-        state = posts.withColumn("component", F.col("id")) if comp is None else \
-            posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        top = (state.groupBy(*key, "component").agg(F.count("*").alias("m"))
-               .groupBy(key).agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("x"),
-                                 F.sum("m").alias("size"), F.count("*").alias("parts"))
-               .filter("parts > 1").select(*key, (-F.col("x.c")).alias("top"),
-                                           F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("salts")))
-        state = write_shared(state.join(top, key))
-        lead = state.filter("component <> top").select(*key, "id", "n", "component", "salts")
-        if done is not None:
-            lead = lead.join(done, [*key, "id"], "left_anti")
-        order = Window.partitionBy(*key).orderBy("id")
-        lead = write_shared(lead.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= width).drop("r"))
-        if not lead.take(1):
-            return comp
-        done = lead.select(*key, "id") if done is None else done.unionAll(lead.select(*key, "id"))
-        listed = ["id", "n", "component"]
-        rows = state.select(*listed, F.xxhash64(*key, F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("list"),
-                            F.lit(True).alias("member")).unionAll(
-            lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-                *listed, F.xxhash64(*key, "salt").alias("list"), F.lit(False).alias("member")))
-        near = write_shared(rows.join(sketches, "id").repartition("list").sortWithinPartitions("list", "member")
-                            .mapInArrow(partial(_meet, percent=percent), "a long, b long").distinct())
-        collide = F.expr("aggregate(zip_with(ga, gb, (x, y) -> int(x = y)), 0, (s, v) -> s + v)")
-        counted = (near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
-                   .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b")
-                   .filter(collide >= matches).select("a", "b").distinct())
-        linked = write_shared(counted.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-                              .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-                              .mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
-        if linked.take(1):
-            if comp is not None:
-                linked = linked.unionAll(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            comp = write_shared(components(linked))
-        width = LEADERS
+    sets = write_shared(base.join(ids, base.doc_id == ids.id, "left_semi").mapInArrow(
+        partial(_sets, k=shingle, coords=coords), "id long, set binary, sig binary, sketch binary").distinct())
+    token = F.xxhash64(*key).alias("token")
+    posted = posts.groupBy("id").agg(F.collect_set(token).alias("posted"))
+    sketches = sets.select("id", "sketch", F.lit(None).cast("array<long>").alias("posted"))
+    sketched = write_shared(sets.select("id", "sketch").join(posted, "id"))
+
+    def linked(rows, sketches):
+        """Confirmed pairs of ``list, member, token, id, n, component`` rows."""
+        near = (rows.join(sketches, "id").repartition("list").sortWithinPartitions("list", "member")
+                .mapInArrow(partial(_meet, percent=percent), "a long, b long").distinct())
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("sig").alias(f"g{x}"), F.col("set").alias(f"s{x}"))
+        return write_shared(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(
+            partial(_confirm, percent=percent, matches=matches), "a long, b long"))
+
+    row = ["id", "n", "component", token]
+    salt = F.pmod(F.xxhash64("id"), "salts").cast("int")
+    # 1. members of each list against its smallest id
+    first = posts.groupBy(key).agg(F.min("id").alias("first"), F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("salts"))
+    state = posts.join(first, key).withColumn("component", F.col("id"))
+    lead = F.explode(F.when(F.col("id") == F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array()))
+    found = linked(state.select(*row, F.xxhash64(*key, salt).alias("list"), F.lit(True).alias("member")).unionAll(
+        state.withColumn("salt", lead).select(*row, F.xxhash64(*key, "salt").alias("list"), F.lit(False).alias("member"))), sketches)
+    comp = write_shared(components(found))
+    # 2. members outside a list's largest component against all others, in blocks of leaders
+    state = posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = state.groupBy(*key, "component").agg(F.count("*").alias("m"))
+    top = parts.groupBy(key).agg(
+        F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("x"), F.sum("m").alias("size"),
+        F.count("*").alias("parts")).filter("parts > 1").select(
+        *key, (-F.col("x.c")).alias("top"), F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("salts"),
+        F.ceil((F.col("size") - F.col("x.m")) / LEADERS).cast("int").alias("blocks"))
+    state = write_shared(state.join(top, key))
+    block = F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
+    cells = lambda name, size: F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias(name)
+    members = state.select(*row, *key, salt.alias("salt"), cells("block", "blocks"))
+    leaders = state.filter("component <> top").select(*row, *key, cells("salt", "salts"), block.alias("block"))
+    rows = [x.select(*row, F.xxhash64(*key, "salt", "block").alias("list"), F.lit(kind).alias("member"))
+            for x, kind in ((members, True), (leaders, False))]
+    more = linked(rows[0].unionAll(rows[1]), sketched)
+    return write_shared(components(more.unionAll(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

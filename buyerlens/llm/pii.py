@@ -41,6 +41,11 @@ FIRST_DAY, N_DAYS = "1900-01-01", 73049
 _DAY_HIGH, _DAY_LOW = 17, 4297
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (an expression named in a lambda is computed per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
@@ -60,28 +65,30 @@ def permute(values: Column, radix: int, key: str, tweak: Column) -> Column:
     The halves swap ``ROUNDS`` times; each time the left one is shifted, digit by digit, by a keyed
     hash of the right one.  A single digit is shifted by a keyed constant.
     """
-    n = F.size(values)
-    tweak = F.concat_ws("|", tweak, F.lit(str(radix)), n.cast("string"))
-
     def shift(half, noise):
-        return F.transform(half, lambda v, j: ((v + F.conv(F.substr(noise, j * 2 + 1, F.lit(2)), 16, 10).cast("int")) % radix)
-                           .cast("int"))
+        return let(noise, lambda x: F.transform(half, lambda v, j: (
+            (v + F.conv(F.substr(x, j * 2 + 1, F.lit(2)), 16, 10).cast("int")) % radix).cast("int")))
 
-    half = (n / 2).cast("int")
-    start = F.struct(F.slice(values, F.lit(1), half).alias("a"), F.slice(values, half + 1, n - half).alias("b"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, i: F.struct(
-        s["b"].alias("a"), shift(s["a"], _noise(key, tweak, i, s["b"])).alias("b")))
-    one = shift(values, _noise(key, tweak, F.lit(0), F.slice(values, 1, 0)))
-    return F.when(n < 2, one).otherwise(F.concat(done["a"], done["b"]))
+    def turn(v):
+        n = F.size(v)
+        name = F.concat_ws("|", tweak, F.lit(str(radix)), n.cast("string"))
+        half = (n / 2).cast("int")
+        start = F.struct(F.slice(v, F.lit(1), half).alias("a"), F.slice(v, half + 1, n - half).alias("b"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, i: F.struct(
+            s["b"].alias("a"), shift(s["a"], _noise(key, name, i, s["b"])).alias("b")),
+            lambda s: F.concat(s["a"], s["b"]))
+        one = shift(v, _noise(key, name, F.lit(0), F.slice(v, 1, 0)))
+        return F.when(n < 2, one).otherwise(done)
+
+    return let(values, turn)
 
 
 def _refill(s: Column, wanted: str, new: Column, skip: Column | int = 0) -> Column:
     """``s`` with its characters of class ``wanted``, after the first ``skip`` of them, replaced in order."""
-    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
-    return F.aggregate(_chars(s), start, lambda acc, c: F.struct(
-        F.concat(acc["s"], F.when(c.rlike(wanted) & (acc["k"] >= skip),
-                                  F.coalesce(F.get(new, acc["k"] - skip), c)).otherwise(c)).alias("s"),
-        (acc["k"] + F.when(c.rlike(wanted), 1).otherwise(0)).alias("k")))["s"]
+    start = F.struct(F.lit("").alias("s"), (-F.lit(skip) if isinstance(skip, int) else -skip).alias("k"))
+    return let(new, lambda v: F.aggregate(_chars(s), start, lambda acc, c: F.struct(
+        F.concat(acc["s"], F.when(c.rlike(wanted) & (acc["k"] >= 0), F.coalesce(F.get(v, acc["k"]), c)).otherwise(c)).alias("s"),
+        (acc["k"] + F.when(c.rlike(wanted), 1).otherwise(0)).alias("k")), lambda acc: acc["s"]))
 
 
 def _luhn_digit(digits: Column) -> Column:
@@ -96,11 +103,13 @@ def _strings(values: Column, radix: int = 10) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(F.regexp_replace(m, "[^0-9]", ""))
-    head = F.slice(d, F.lit(1), F.size(d) - 1)
-    new = permute(head, 10, key, F.lit("card"))
-    last = F.pmod(F.element_at(d, -1) - _luhn_digit(head) + _luhn_digit(new), F.lit(10)).cast("int")
-    return _refill(m, "[0-9]", _strings(F.concat(new, F.array(last))))
+    def with_check(d, head, new):
+        last = F.pmod(F.element_at(d, -1) - _luhn_digit(head) + _luhn_digit(new), F.lit(10)).cast("int")
+        return _refill(m, "[0-9]", _strings(F.concat(new, F.array(last))))
+
+    return let(_digits(F.regexp_replace(m, "[^0-9]", "")), lambda d: let(
+        F.slice(d, F.lit(1), F.size(d) - 1), lambda head: let(
+            permute(head, 10, key, F.lit("card")), lambda new: with_check(d, head, new))))
 
 
 def _mod97(s: Column) -> Column:
@@ -114,10 +123,11 @@ def iban_valid(m: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    body = F.substring(m, 5, 40)
-    new = _refill(body, "[0-9]", _strings(permute(_digits(F.regexp_replace(body, "[^0-9]", "")), 10, key, F.substring(m, 1, 2))))
-    check = 98 - _mod97(F.concat(new, F.substring(m, 1, 2), F.lit("00")))
-    return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
+    body, country = F.substring(m, 5, 40), F.substring(m, 1, 2)
+    digits = _digits(F.regexp_replace(body, "[^0-9]", ""))
+    check = lambda new: (98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string")
+    return let(_refill(body, "[0-9]", _strings(permute(digits, 10, key, country))),
+               lambda new: F.concat(country, F.lpad(check(new), 2, "0"), new))
 
 
 def _octets(m: Column) -> Column:
@@ -130,9 +140,8 @@ def ipv4_valid(m: Column) -> Column:
 
 def _ipv4(m: Column, key: str) -> Column:
     nibbles = F.flatten(F.transform(_octets(m), lambda o: F.array((o / 16).cast("int"), o % 16)))
-    new = permute(nibbles, 16, key, F.lit("ipv4"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
-        F.get(new, i * 2) * 16 + F.get(new, i * 2 + 1)).cast("string")), ".")
+    return let(permute(nibbles, 16, key, F.lit("ipv4")), lambda new: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(new, i * 2) * 16 + F.get(new, i * 2 + 1)).cast("string")), "."))
 
 
 def _iso(m: Column) -> Column:
@@ -153,43 +162,41 @@ def _date(m: Column, key: str) -> Column:
         return ((v + F.conv(F.substring(noise, 1, 7), 16, 10).cast("int")) % size).cast("int")
 
     def turn(s, i):
-        high = add(s["h"], _noise(key, F.lit("day"), i, F.array(s["l"])), _DAY_HIGH)
-        return F.struct(high.alias("h"), add(s["l"], _noise(key, F.lit("day"), -i, F.array(high)), _DAY_LOW).alias("l"))
+        return let(add(s["h"], _noise(key, F.lit("day"), i, F.array(s["l"])), _DAY_HIGH), lambda high: F.struct(
+            high.alias("h"), add(s["l"], _noise(key, F.lit("day"), -i, F.array(high)), _DAY_LOW).alias("l")))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), done["h"] * _DAY_LOW + done["l"])
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["h"] * _DAY_LOW + s["l"])
     mark = F.substring(m, 3, 1)
-    return F.when(F.substring(m, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).otherwise(
-        F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    return let(F.date_add(F.lit(FIRST_DAY).cast("date"), done), lambda new: F.when(
+        F.substring(m, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).otherwise(
+        F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy"))))
 
 
 def _email(m: Column, key: str) -> Column:
     local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
     letters = F.transform(_chars(F.lower(F.regexp_replace(local, "[^A-Za-z]", ""))), lambda c: F.ascii(c) - 97)
     digits = _digits(F.regexp_replace(local, "[^0-9]", ""))
+    # letters are keyed by the address's shape, digits also by the letters
     shape = F.lower(F.concat(F.regexp_replace(F.regexp_replace(local, "[0-9]", "9"), "[A-Za-z]", "a"), F.lit("@"), domain))
-    # the digits' permutation is keyed by the letters, so it needs no length to be strong
-    small = F.transform(permute(F.slice(letters, 1, 128), 26, key, F.concat(F.lit("email"), shape)), lambda v: F.char(v + 97))
-    tweak = F.concat(shape, F.array_join(letters.cast("array<string>"), ","))
-    number = _strings(permute(F.slice(digits, 1, 128), 10, key, tweak))
-    upper = F.concat(_refill(local, "[A-Z]", F.transform(_chars(F.regexp_replace(local, "[^A-Z]", "")), lambda c: c)))
-    lettered = _refill(upper, "[A-Za-z]", small)
-    cased = F.array_join(F.zip_with(_chars(lettered), _chars(local), lambda n, o: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
+    named = F.concat(F.lower(F.regexp_replace(local, "[0-9]", "9")), F.lit("@"), F.lower(domain))
+    small = F.transform(permute(letters, 26, key, F.concat(F.lit("email"), shape)), lambda v: F.char(v + 97))
+    number = _strings(permute(digits, 10, key, named))
+    case = lambda n, o: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n)
+    cased = F.array_join(F.zip_with(_chars(_refill(local, "[A-Za-z]", small)), _chars(local), case), "")
     return F.concat(_refill(cased, "[0-9]", number), F.lit("@"), domain)
 
 
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{7,})", 1)
-    d = _digits(F.regexp_replace(m, "[^0-9]", ""))
-    new = permute(F.slice(d, F.length(country) + 1, F.size(d)), 10, key, F.concat(F.lit("phone"), country))
-    return _refill(m, "[0-9]", _strings(new), F.length(country))
+    return let(country, lambda c: let(_digits(F.regexp_replace(m, "[^0-9]", "")), lambda d: _refill(
+        m, "[0-9]", _strings(permute(F.slice(d, F.length(c) + 1, F.size(d)), 10, key, F.concat(F.lit("phone"), c))), F.length(c))))
 
 
 def _whole(m: Column, key: str, radix: int, name: str) -> Column:
     wanted = "[0-9]" if radix == 10 else "[0-9A-Fa-f]"
     d = _digits(F.regexp_replace(m, f"[^{wanted[1:]}", ""))
-    new = _refill(m, wanted, _strings(permute(d, radix, key, F.lit(name)), radix))
-    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    return let(_refill(m, wanted, _strings(permute(d, radix, key, F.lit(name)), radix)),
+               lambda new: F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new))
 
 
 def kind_of(m: Column) -> Column:

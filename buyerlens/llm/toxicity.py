@@ -24,10 +24,10 @@ from buyerlens.session import ship_package
 
 BITS = 18
 SIZES = (3, 4, 5)
-MAX_ROWS = 8000
+MAX_ROWS = 6000
 MAX_FEATURES = 16_000_000
 #: Parameters of the fit.
-SMOOTHING, L2, STEPS, RATE = 1.0, 3e-3, 120, 0.05
+SMOOTHING, L2, STEPS, RATE = 1.0, 1e-2, 100, 0.05
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -80,18 +80,19 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray) -> LinearModel:
         return LinearModel(np.zeros(dims, np.float32), float(np.log(share / (1 - share))), n, pos)
     counts = np.array([len(r) for r in rows])
     idx = np.concatenate(rows)
-    row = np.repeat(np.arange(n), counts)
+    filled = np.flatnonzero(counts)
+    begin = (np.cumsum(counts) - counts)[filled]
     p = SMOOTHING + np.bincount(idx[np.repeat(y == 1, counts)], minlength=dims)
     q = SMOOTHING + np.bincount(idx[np.repeat(y == 0, counts)], minlength=dims)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    scale = ratio[idx]
     w, bias = np.zeros(dims), float(np.log(pos / (n - pos)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, weights=w[idx] * scale, minlength=n) + bias
+        z = np.full(n, bias)
+        z[filled] += np.add.reduceat((w * ratio)[idx], begin)
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         g = np.empty(dims + 1)
-        g[:dims] = np.bincount(idx, weights=err[row] * scale, minlength=dims) / n + L2 * w
+        g[:dims] = np.bincount(idx, weights=np.repeat(err, counts), minlength=dims) * ratio / n + L2 * w
         g[dims] = err.mean()
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
