@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from buyerlens.llm.text import BLOCK, RANDOM_BYTE, U64, column_bytes, mix, powers, segments_min
 from buyerlens.session import ship_package, write_shared
 
-WIDTH, GRAM, GROUP = 400, 128, 256
+WIDTH, GRAM, GROUP = 400, 128, 4096
 #: Depth in bytes at which multikey quicksort hands over to blind tries.
 SHALLOW = 24
 _INDEX_BITS = 20
