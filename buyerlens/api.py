@@ -17,7 +17,7 @@ from buyerlens.plans import model_table as mt
 
 # ------------------------------------------------------------ feature build
 def data_processing_mmao_transac(df_mmao: DataFrame, df_transaction: DataFrame,
-                                 check_contract: bool = False) -> DataFrame:
+                                 check_contract: bool = True) -> DataFrame:
     """Purchases + offers -> one row per buyer."""
     return bf.purchase_features(df_transaction, df_mmao, check_contract)
 

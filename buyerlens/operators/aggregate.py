@@ -108,14 +108,9 @@ def with_global_max(df: DataFrame, col: str, alias: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str, count_name: str = "count") -> DataFrame:
-    """``value_counts()`` - rows per distinct value, NULLs excluded."""
+    """``value_counts()`` - rows per distinct value, the most frequent first, NULLs excluded."""
     return (df.where(F.col(col).isNotNull()).groupBy(col)
-            .agg(F.count(F.lit(1)).alias(count_name)))
-
-
-def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``df[cols].drop_duplicates()``."""
-    return df.select(*cols).distinct()
+            .agg(F.count(F.lit(1)).alias(count_name)).orderBy(F.desc(count_name), col))
 
 
 def transform_by_group(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:

@@ -82,17 +82,6 @@ def sparse_column_profile(df: DataFrame, ratio: float) -> DataFrame:
         (F.col("s.non_null") >= F.lit(ratio) * F.col("rows")).alias("kept"))
 
 
-def add_cltv(df: DataFrame, purchased="VALUE_PURCHASED", sold="VALUE_SOLD",
-             out="CLTV") -> DataFrame:
-    """Current value = purchased + sold (NULL if either is NULL)."""
-    return df.withColumn(out, F.col(purchased) + F.col(sold))
-
-
-def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """P5: drop rows with a NULL in any (or any listed) column."""
-    return df.na.drop(how="any", subset=list(subset) if subset else None)
-
-
 def fill_constants(df: DataFrame, fills: dict) -> DataFrame:
     """Fill NULLs per column with constants (``fillna`` on named columns).
 
@@ -119,11 +108,6 @@ def missing_values_fill(df: DataFrame, count_fill=0, recency_fill=999) -> DataFr
     return fill_constants(df, fills)
 
 
-def rename_columns(df: DataFrame, mapping: dict) -> DataFrame:
-    """Explicit renames (used instead of merge suffixes)."""
-    return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
-
-
 def activity_since(df: DataFrame, date_col: str, cutoff: str) -> DataFrame:
     """Keep rows not before the cutoff: ``~(date < cutoff)``.
 
@@ -134,22 +118,6 @@ def activity_since(df: DataFrame, date_col: str, cutoff: str) -> DataFrame:
     return df.where(c.isNull() | (c >= F.to_timestamp_ntz(F.lit(cutoff))))
 
 
-def score_at_least(df: DataFrame, min_score: float, col: str = "Composite_Score") -> DataFrame:
-    """``score >= min_score``."""
-    return df.where(F.col(col) >= F.lit(min_score))
-
-
-def overwrite_where(df: DataFrame, mask: Column, col: str, value) -> DataFrame:
-    """``df.loc[mask, col] = value``."""
-    v = value if isinstance(value, Column) else F.lit(value)
-    return df.withColumn(col, F.when(mask, v).otherwise(F.col(col)))
-
-
-def split_features(df: DataFrame, key: str, targets: Sequence[str]) -> list[str]:
-    """Feature column names = all columns but the key and the targets."""
-    return [c for c in df.columns if c != key and c not in set(targets)]
-
-
 def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
     """One-row table of [Q1 - f*IQR, Q3 + f*IQR] per column, from exact
     linear-interpolated quartiles computed without a single-task merge."""
@@ -226,7 +194,3 @@ def shape(df: DataFrame) -> DataFrame:
     """``shape`` as a one-row table (rows, columns)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
         "n_columns", F.lit(len(df.columns)).cast("long"))
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from buyerlens import params
 from buyerlens.operators.aggregate import exact_mean, exact_sum
+from buyerlens.session import materialize
 
 
 def _q(c: str) -> str:
@@ -32,15 +33,12 @@ def fit_target_encoder(train: DataFrame, cols: Sequence[str], target: str,
     ``(column_name, category, encoded)``, prior one row.
     """
     prior = train.agg(exact_mean(target).alias("prior"))
-    per_col = []
-    for c in cols:
-        per_col.append(train.where(F.col(c).isNotNull())
-                       .groupBy(F.col(c).cast("string").alias("category"))
-                       .agg(F.count(F.lit(1)).alias("n"), exact_mean(target).alias("mean"))
-                       .withColumn("column_name", F.lit(c)))
-    stats = per_col[0]
-    for p in per_col[1:]:
-        stats = stats.unionByName(p)
+    # one scan: every row unpivots to its (column, category) pairs, reduced map-side
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category"))
+                      for c in cols])
+    stats = (train.select(F.col(target), F.explode(pairs).alias("__p")).select(target, "__p.*")
+             .where(F.col("category").isNotNull()).groupBy("column_name", "category")
+             .agg(F.count(F.lit(1)).alias("n"), exact_mean(target).alias("mean")))
     w = 1.0 / (1.0 + F.exp(-(F.col("n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
     enc = F.col("prior") * (1.0 - w) + F.col("mean") * w
     if single_to_prior:
@@ -56,12 +54,11 @@ def apply_target_encoder(df: DataFrame, mapping: DataFrame, prior: DataFrame,
     categories get the training prior.
 
     One equi-join per encoded column on (category).  The mapping is as large
-    as the column's cardinality: it is broadcast when counted small
-    (``broadcast_if_small``) and shuffle-joined otherwise.
+    as the column's cardinality; AQE broadcasts it when its measured bytes
+    allow and splits the partition of a hot category otherwise.
     """
-    from buyerlens.operators.joins import broadcast_if_small
     out = df.crossJoin(F.broadcast(prior.select(F.col("prior").alias("__prior"))))
-    mapping = broadcast_if_small(mapping)
+    mapping = materialize(mapping)  # read once per column
     for c in cols:
         m = (mapping.where(F.col("column_name") == c)
              .select(F.col("category").alias(f"__cat_{c}"), F.col("encoded").alias(f"__enc_{c}")))

@@ -50,9 +50,10 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def _class_list(df: DataFrame, label: str, pred: str) -> DataFrame:
-    return (df.select(F.col(label).cast("int").alias("cls"))
-            .union(df.select(F.col(pred).cast("int").alias("cls"))).distinct())
+def _pair_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """Rows of each (label ``y``, prediction ``p``) pair; everything per class follows from it."""
+    return (df.groupBy(F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("p"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def one_vs_rest(df: DataFrame, label: str = "target_class",
@@ -62,11 +63,13 @@ def one_vs_rest(df: DataFrame, label: str = "target_class",
     The (label, prediction) pair counts are tiny (classes squared), so they
     are crossed with the class list (bounded by the number of classes).
     """
-    pairs = (df.groupBy(F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("p"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    classes = _class_list(df, label, pred)
+    return _rates(_pair_counts(df, label, pred))
+
+
+def _rates(pairs: DataFrame) -> DataFrame:
+    classes = pairs.select(F.explode(F.array("y", "p")).alias("cls")).distinct()
     y, p, c, n = F.col("y"), F.col("p"), F.col("cls"), F.col("n")
-    return (F.broadcast(classes).crossJoin(pairs).groupBy("cls").agg(
+    return (classes.crossJoin(pairs).groupBy("cls").agg(
         F.sum(F.when((y != c) & (p != c), n).otherwise(0)).alias("tn"),
         F.sum(F.when((y != c) & (p == c), n).otherwise(0)).alias("fp"),
         F.sum(F.when((y == c) & (p != c), n).otherwise(0)).alias("fn"),
@@ -77,7 +80,8 @@ def classification_report(df: DataFrame, label: str = "label",
                           pred: str = "prediction") -> DataFrame:
     """V4: per-class precision, recall, F1, support plus macro / weighted
     averages and accuracy rows (``class`` column as text)."""
-    ovr = one_vs_rest(df, label, pred)
+    pairs = _pair_counts(df, label, pred)
+    ovr = _rates(pairs)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     per = ovr.select(
         F.col("cls").cast("string").alias("class"),
@@ -92,7 +96,7 @@ def classification_report(df: DataFrame, label: str = "label",
         (F.sum(F.col("recall") * F.col("support")) / F.first("n")).alias("wr"),
         (F.sum(F.col("f1") * F.col("support")) / F.first("n")).alias("wf"),
         F.first("n").alias("n"))
-    acc = binary_accuracy(df, label, pred)
+    acc = pairs.agg(_ratio0(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
     macro = avg.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
                        F.col("mr").alias("recall"), F.col("mf").alias("f1"),
                        F.col("n").cast("long").alias("support"))

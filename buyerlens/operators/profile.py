@@ -26,7 +26,8 @@ def _long(df: DataFrame, names: Sequence[str], fields: dict[str, list]) -> DataF
 
 def missing_values_table(df: DataFrame) -> DataFrame:
     """A10 ``missing_values_table``: NULL count and percentage per column,
-    columns without NULLs left out, percentage rounded to 1 decimal."""
+    columns without NULLs left out, percentage rounded to 1 decimal, the
+    sparsest column first."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.count_if(F.col(_q(c)).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)])
@@ -36,7 +37,7 @@ def missing_values_table(df: DataFrame) -> DataFrame:
     return (long.where(F.col("missing_values") > 0)
             .select("column_name", "missing_values",
                     F.bround(F.lit(100.0) * F.col("missing_values") / F.col("rows"), 1)
-                    .alias("pct_of_total")))
+                    .alias("pct_of_total")).orderBy(F.desc("pct_of_total"), "column_name"))
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -142,8 +143,8 @@ def quartiles_by(df: DataFrame, group: str, col: str) -> DataFrame:
 def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     """U3 ``df1.equals(df2)`` re-aimed as multiset equality plus a diff summary.
 
-    ``exceptAll`` both ways (two shuffles on whole rows); row order is not
-    compared, since Spark tables have none.
+    One pass: the rows of both sides are counted per distinct row; row order
+    is not compared, since Spark tables have none.
     """
     same_schema = [(f.name, f.dataType.simpleString()) for f in left.schema.fields] == \
                   [(f.name, f.dataType.simpleString()) for f in right.schema.fields]
@@ -155,12 +156,14 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
             F.lit(False).alias("schema_equal"), "rows_left", "rows_right",
             F.lit(None).cast("long").alias("only_left"), F.lit(None).cast("long").alias("only_right"),
             F.lit(False).alias("equal"), F.lit(",".join(common)).alias("common_columns"))
-    only_l = left.exceptAll(right).agg(F.count(F.lit(1)).alias("only_left"))
-    only_r = right.exceptAll(left).agg(F.count(F.lit(1)).alias("only_right"))
-    lc = left.agg(F.count(F.lit(1)).alias("rows_left"))
-    rc = right.agg(F.count(F.lit(1)).alias("rows_right"))
-    return (lc.crossJoin(rc).crossJoin(only_l).crossJoin(only_r)
-            .select(F.lit(True).alias("schema_equal"), "rows_left", "rows_right",
-                    "only_left", "only_right",
-                    ((F.col("only_left") == 0) & (F.col("only_right") == 0)).alias("equal"),
-                    F.lit(",".join(left.columns)).alias("common_columns")))
+    sided = left.withColumn("__left", F.lit(True)).union(right.withColumn("__left", F.lit(False)))
+    rows = sided.groupBy(*[F.col(_q(c)) for c in left.columns]).agg(
+        F.count_if("__left").alias("__l"), F.count_if(~F.col("__left")).alias("__r"))
+    total = lambda e, name: F.coalesce(F.sum(e), F.lit(0)).alias(name)
+    zero = F.lit(0).cast("long")
+    return rows.agg(total(F.col("__l"), "rows_left"), total(F.col("__r"), "rows_right"),
+                    total(F.greatest(F.col("__l") - F.col("__r"), zero), "only_left"),
+                    total(F.greatest(F.col("__r") - F.col("__l"), zero), "only_right")).select(
+        F.lit(True).alias("schema_equal"), "rows_left", "rows_right", "only_left", "only_right",
+        ((F.col("only_left") == 0) & (F.col("only_right") == 0)).alias("equal"),
+        F.lit(",".join(left.columns)).alias("common_columns"))

@@ -16,10 +16,6 @@ from buyerlens.functions.numeric import safe_ratio_expr
 from buyerlens.operators.aggregate import exact_sum
 from buyerlens.operators.window import ordered_scan, pct_rank_desc
 
-UPLIFT_EXPRESSION = ("proba_CN/(proba_CN+proba_CR) + proba_TR/(proba_TN+proba_TR) "
-                     "- proba_TN/(proba_TN+proba_TR) - proba_CR/(proba_CN+proba_CR)")
-
-
 def assign_treatment(df: DataFrame, key: str = "ID_BUYER", seed=params.SEED,
                      out: str = "treatment") -> DataFrame:
     """L1: 50/50 treatment flag from the key hash (stable, reproducible)."""
@@ -51,7 +47,7 @@ def target_class(df: DataFrame, convention: str = "as_coded", treatment: str = "
 
 def uplift_score(df: DataFrame, out: str = "score_etu") -> DataFrame:
     """L4: uplift from four class probabilities; a zero denominator gives NULL."""
-    return df.withColumn(out, safe_ratio_expr(UPLIFT_EXPRESSION))
+    return df.withColumn(out, safe_ratio_expr(params.UPLIFT_EXPRESSION))
 
 
 def treatment_correlation(df: DataFrame, treatment: str = "treatment",

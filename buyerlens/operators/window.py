@@ -23,6 +23,7 @@ Only the boundary-group offsets travel to the driver; rows never do.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -191,12 +192,6 @@ class _ScanState:
 # W1-W4
 # ---------------------------------------------------------------------------
 
-def group_broadcast(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
-    """Group aggregate attached to every row (aggregate + join back)."""
-    agg = df.groupBy(key).agg(*[e.alias(n) for n, e in aggs.items()])
-    return df.join(agg, key, "left")
-
-
 def pct_rank_desc(df: DataFrame, score: str, out: str = "n") -> DataFrame:
     """``rank(pct=True, ascending=False)`` with average ties.
 
@@ -220,11 +215,6 @@ def running_sum(df: DataFrame, order_by: Sequence, cols: Sequence[str],
     return ordered_scan(df, order_by, sum_cols=cols, cum_prefix=prefix, pos_col="_pos")
 
 
-def last_value(df: DataFrame, order_col: str, value_col: str, alias: str) -> DataFrame:
-    """Value of the last row in a total order, as a one-row table."""
-    return df.agg(F.max_by(value_col, order_col).alias(alias))
-
-
 def sort_desc(df: DataFrame, col: str, key: str = "ID_BUYER") -> DataFrame:
     """O1: sort by a score descending, key as tie-breaker (total order)."""
     return df.orderBy(F.desc(col), F.asc(key))
@@ -268,9 +258,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     want = (counts.crossJoin(F.broadcast(grid))
             .withColumn("__h", F.col("p") * (F.col("__n") - 1).cast("double"))
             .withColumn("__lo", F.floor("__h").cast("long"))
-            .withColumn("__hi", F.ceil("__h").cast("long")))
-    picks = ranked.join(want, keys, "inner").where(
-        (F.col("__pos") - 1 == F.col("__lo")) | (F.col("__pos") - 1 == F.col("__hi")))
+            .withColumn("__hi", F.ceil("__h").cast("long"))
+            # the join key holds the position, so no (group, column) gathers its rows in one task
+            .withColumn("__pos", F.explode(F.array_distinct(F.array(F.col("__lo") + 1, F.col("__hi") + 1)))))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys] + [F.col("r.__pos") == F.col("w.__pos")]
+    picks = ranked.alias("r").join(want.alias("w"), functools.reduce(lambda a, b: a & b, same)).select(
+        *[F.col(f"r.{c}") for c in keys], "v", "r.__pos", "p", "__h", "__lo", "__hi")
     agg = picks.groupBy(*keys, "p", "__h", "__lo").agg(
         F.max(F.when(F.col("__pos") - 1 == F.col("__lo"), F.col("v"))).alias("__vlo"),
         F.max(F.when(F.col("__pos") - 1 == F.col("__hi"), F.col("v"))).alias("__vhi"))

@@ -52,6 +52,30 @@ GENDER_NET_MAP = {0: 0, 1: 0, 2: 1, 3: 2}
 UPLIFT_CLASS_AS_CODED = {(0, 1): 0, (0, 0): 1, (1, 1): 2, (1, 0): 3}
 # The labelling its comments describe: CN=0, CR=1, TN=2, TR=3.
 UPLIFT_CLASS_CORRECTED = {(0, 0): 0, (0, 1): 1, (1, 0): 2, (1, 1): 3}
+
+# Columns of the purchase features by how a buyer's rows are reduced.
+MODE_COLUMNS = ["ID_CATEGORY", "ID_SUBCATEGORY", "ID_BRAND", "ID_PAYMENT_TYPE",
+                "ORDER_MARKETING_CHANNEL"]
+MEAN_COLUMNS = ["DEPOSIT_PRICE", "PRICE_SOLD_GMV", "NB_ITEMS", "DISCOUNT_AMOUNT_GMV",
+                "BUYER_FEE_GMV", "MMAO_PRICE_DROP", "VOUCHER_REVENUE", "ID_CONDITION",
+                "ID_GENDER"]
+
+# Columns removed for the model table; the two mean-commission columns carry
+# explicit names instead of merge suffixes.
+DROP_FOR_MODEL = [
+    "RFM_BUYER", "ORDER_VALUE_RANGE", "ID_CONDITION", "ORDER_MARKETING_CHANNEL",
+    "Total_likes", "Total_wishes", "Total_MMAO_NB", "Avg_commision_liked",
+    "Avg_commision_commented", "NL_REACTIVITY_GROUP", "NB_PURCHASED", "RANK_BUYER",
+    "BUYER_SEGMENT", "NB_SOLD", "RANK_WITHIN_SEGMENT", "ID_SEGMENT", "ID_RFM_BUYER",
+    "Frequnecy_like_12M", "VOUCHER_REVENUE",
+]
+DROP_DATES = ["DATE_CREATION", "DATE_NEW_BUYER", "LastLikeDate", "LastCommentDate",
+              "DATE_FIRST_PURCHASE", "DATE_LAST_LOGIN", "DATE_LAST_PURCHASE"]
+DROP_TOTALS = ["Total_nb_likes", "Total_nb_wish"]
+
+# Uplift score of the four class probabilities.
+UPLIFT_EXPRESSION = ("proba_CN/(proba_CN+proba_CR) + proba_TR/(proba_TN+proba_TR) "
+                     "- proba_TN/(proba_TN+proba_TR) - proba_CR/(proba_CN+proba_CR)")
 # ---------------------------------------------------------------------------
 
 # Fixture settings for the driver tables (events span 2024-01-01..2024-01-30).

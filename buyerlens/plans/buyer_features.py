@@ -25,25 +25,11 @@ from buyerlens.functions.dates import floor_days_between
 from buyerlens.functions.maps import buyer_type_label, gender_net_map
 from buyerlens.operators.aggregate import EXACT_DECIMAL, exact_mean, group_mode, sum0
 from buyerlens.operators.clean import check_dense
+from buyerlens.sources.schemas import PURCHASES
 
-# Required purchase columns, in the reference's order.
-PURCHASE_COLUMNS = [
-    "ID_PRODUCT", "ID_ORDER", "ID_CATEGORY", "ID_SUBCATEGORY", "ID_CONDITION", "ID_BRAND",
-    "UNIVERSE", "DEPOSIT_PRICE", "PRICE_SOLD_GMV", "NB_ITEMS", "DISCOUNT_AMOUNT_GMV",
-    "DATE_SOLD", "DATE_PUBLISHED", "ID_PAYMENT_TYPE", "ID_BUYER", "RANK_BUYER",
-    "RANK_WITHIN_SEGMENT", "ID_SEGMENT", "LOVED", "ORDER_VALUE_RANGE", "BUYER_FEE_GMV",
-    "ORDER_MARKETING_CHANNEL", "MMAO_PRICE_DROP", "VOUCHER_REVENUE", "BUYER_TYPE",
-    "FLAG_FRAUD", "ID_GENDER", "DATE_NEW_BUYER", "DATE_CREATION", "DATE_LAST_LOGIN",
-    "INACTIVE", "NB_SOLD", "VALUE_SOLD", "NB_PUBLISHED", "VALUE_PUBLISHED", "NB_PURCHASED",
-    "VALUE_PURCHASED", "NL_REACTIVITY_GROUP", "ID_RFM_BUYER", "RFM_BUYER", "USER_SEGMENT",
-    "DATE_LAST_PURCHASE", "DATE_FIRST_PURCHASE", "BUYER_SEGMENT",
-]
+PURCHASE_COLUMNS = PURCHASES.names
 
-MODE_COLUMNS = ["ID_CATEGORY", "ID_SUBCATEGORY", "ID_BRAND", "ID_PAYMENT_TYPE",
-                "ORDER_MARKETING_CHANNEL"]
-MEAN_COLUMNS = ["DEPOSIT_PRICE", "PRICE_SOLD_GMV", "NB_ITEMS", "DISCOUNT_AMOUNT_GMV",
-                "BUYER_FEE_GMV", "MMAO_PRICE_DROP", "VOUCHER_REVENUE", "ID_CONDITION",
-                "ID_GENDER"]
+MODE_COLUMNS, MEAN_COLUMNS = params.MODE_COLUMNS, params.MEAN_COLUMNS
 # Columns taken from the first row of each buyer (buyer-level attributes and
 # per-row values the reference keeps through ``first()``).
 FIRST_COLUMNS = [
@@ -80,7 +66,7 @@ def purchase_rows(purchases: DataFrame) -> DataFrame:
 
 
 def purchase_features(purchases: DataFrame, offers: DataFrame,
-                      check_contract: bool = False) -> DataFrame:
+                      check_contract: bool = True) -> DataFrame:
     """D1 ``data_processing_mmao_transac``: one row per buyer.
 
     The offers left join (J1) is applied to the per-buyer result rather than

@@ -12,18 +12,7 @@ from buyerlens.functions.dates import days_since, floor_days_between
 from buyerlens.functions.maps import ordinal_segment
 from buyerlens.operators.clean import drop_columns, missing_values_fill
 
-# Columns removed by ``drop_columns(df)``; the two mean-commission columns
-# carry explicit names instead of merge suffixes.
-DROP_FOR_MODEL = [
-    "RFM_BUYER", "ORDER_VALUE_RANGE", "ID_CONDITION", "ORDER_MARKETING_CHANNEL",
-    "Total_likes", "Total_wishes", "Total_MMAO_NB", "Avg_commision_liked",
-    "Avg_commision_commented", "NL_REACTIVITY_GROUP", "NB_PURCHASED", "RANK_BUYER",
-    "BUYER_SEGMENT", "NB_SOLD", "RANK_WITHIN_SEGMENT", "ID_SEGMENT", "ID_RFM_BUYER",
-    "Frequnecy_like_12M", "VOUCHER_REVENUE",
-]
-DROP_DATES = ["DATE_CREATION", "DATE_NEW_BUYER", "LastLikeDate", "LastCommentDate",
-              "DATE_FIRST_PURCHASE", "DATE_LAST_LOGIN", "DATE_LAST_PURCHASE"]
-DROP_TOTALS = ["Total_nb_likes", "Total_nb_wish"]
+DROP_FOR_MODEL, DROP_DATES, DROP_TOTALS = params.DROP_FOR_MODEL, params.DROP_DATES, params.DROP_TOTALS
 
 TARGETS = ["REPEATER", "CLTV"]
 TARGET_ENCODED = ["ID_CATEGORY", "ID_SUBCATEGORY", "ID_BRAND", "ID_PAYMENT_TYPE"]
@@ -62,10 +51,3 @@ def feature_columns(df: DataFrame, drop_encoded: bool = False) -> list[str]:
     if drop_encoded:
         skip |= set(TARGET_ENCODED)
     return [c for c in df.columns if c not in skip]
-
-
-def with_fixed_scores(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Attach a deterministic score column (stand-in for a model probability)."""
-    from buyerlens.functions.hashing import key_fraction
-    return df.withColumn("score", key_fraction("ID_BUYER", seed))
-

@@ -73,7 +73,7 @@ def q_a10(spark, sf_dir):
 @register("A11_value_counts", sql=s.sql_with_model(
     [], "SELECT REPEATER, count(*) AS count FROM d5 WHERE REPEATER IS NOT NULL GROUP BY REPEATER"))
 def q_a11(spark, sf_dir):
-    return value_counts(s.model_table(spark, sf_dir), "REPEATER")
+    return value_counts(s.model_table(spark, sf_dir, columns=["REPEATER"]), "REPEATER")
 
 
 # ----------------------------------------------------------------- A12
@@ -141,7 +141,7 @@ def _corr_sql():
 
 @register("A14_correlation_matrix", sql=_corr_sql(), round_cols=["corr"], digits=6)
 def q_a14(spark, sf_dir):
-    return pr.correlation_pairs(s.model_table(spark, sf_dir), CORR_COLS)
+    return pr.correlation_pairs(s.model_table(spark, sf_dir, columns=CORR_COLS), CORR_COLS)
 
 
 # ----------------------------------------------------------------- A16/A17
@@ -151,7 +151,7 @@ SELECT REPEATER, min(CAST(CLTV AS DOUBLE)) AS min, quantile_cont(CAST(CLTV AS DO
        max(CAST(CLTV AS DOUBLE)) AS max, count(CLTV) AS count
 FROM d5 GROUP BY REPEATER"""), round_cols=["q25", "q50", "q75"], digits=6)
 def q_a17(spark, sf_dir):
-    return pr.quartiles_by(s.model_table(spark, sf_dir), "REPEATER", "CLTV")
+    return pr.quartiles_by(s.model_table(spark, sf_dir, columns=["REPEATER", "CLTV"]), "REPEATER", "CLTV")
 
 
 # ----------------------------------------------------------------- U3
@@ -254,7 +254,7 @@ def _split(spark, sf_dir):
 @register("E8_train_test_split", sql=s.sql_with_model([], f"""
 SELECT ID_BUYER, CAST({frac('ID_BUYER', 'split42')} < 0.2 AS INTEGER) AS is_test FROM d5"""))
 def q_e8(spark, sf_dir):
-    return sp.mark_test(s.model_table(spark, sf_dir)).select("ID_BUYER", "is_test")
+    return sp.mark_test(s.model_table(spark, sf_dir, columns=["ID_BUYER"])).select("ID_BUYER", "is_test")
 
 
 def _strat_sql(stratum: str, salt: str, src: str) -> str:
@@ -267,7 +267,7 @@ SELECT ID_BUYER, treatment,
 FROM (SELECT ID_BUYER, treatment, {_strat_sql('treatment', 'split42', 'u_base')} AS rn,
              count(*) OVER (PARTITION BY treatment) AS cnt FROM u_base) x"""))
 def q_e9(spark, sf_dir):
-    base = up.assign_treatment(s.model_table(spark, sf_dir).select("ID_BUYER"))
+    base = up.assign_treatment(s.model_table(spark, sf_dir, columns=["ID_BUYER"]))
     return sp.stratified_split(base, "treatment").select("ID_BUYER", "treatment", "is_test")
 
 
@@ -275,14 +275,14 @@ def q_e9(spark, sf_dir):
 SELECT ID_BUYER, REPEATER, CAST(({_strat_sql('REPEATER', 'splitf42', 'd5')} - 1) % 7 AS INTEGER) AS fold
 FROM d5"""))
 def q_e10(spark, sf_dir):
-    m = s.model_table(spark, sf_dir).select("ID_BUYER", "REPEATER")
+    m = s.model_table(spark, sf_dir, columns=["ID_BUYER", "REPEATER"])
     return sp.stratified_kfold(m, "REPEATER", 7)
 
 
 @register("E11_kfold", sql=s.sql_with_model([], f"""
 SELECT ID_BUYER, CAST({hash32('ID_BUYER', 'fold42')} % 7 AS INTEGER) AS fold FROM d5"""))
 def q_e11(spark, sf_dir):
-    return sp.kfold(s.model_table(spark, sf_dir).select("ID_BUYER"), 7)
+    return sp.kfold(s.model_table(spark, sf_dir, columns=["ID_BUYER"]), 7)
 
 
 @register("E12_class_weights", sql=s.sql_with_model([], """
@@ -291,7 +291,7 @@ FROM d5 LEFT JOIN (SELECT REPEATER, count(*) AS nc FROM d5 GROUP BY REPEATER) c
   ON d5.REPEATER = c.REPEATER
 CROSS JOIN (SELECT count(*) AS n, count(DISTINCT REPEATER) + max(CASE WHEN REPEATER IS NULL THEN 1 ELSE 0 END) AS k FROM d5) t"""))
 def q_e12(spark, sf_dir):
-    m = s.model_table(spark, sf_dir).select("ID_BUYER", "REPEATER")
+    m = s.model_table(spark, sf_dir, columns=["ID_BUYER", "REPEATER"])
     return sp.class_weights(m, "REPEATER").select("ID_BUYER", "REPEATER", "weight")
 
 

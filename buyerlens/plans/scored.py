@@ -21,17 +21,20 @@ SNAP = params.FIXTURE_SNAPSHOT
 CLASS_SALTS = ["cls0", "cls1", "cls2", "cls3"]
 
 
-def model_table(spark, sf_dir, materialized: bool = True) -> DataFrame:
+def model_table(spark, sf_dir, materialized: bool = True, columns=None) -> DataFrame:
     """D5 over the driver tables.  Most consumers read it from several
     branches (train/test, statistics and their application), so it is
-    materialized once per query in the checkpoint directory."""
+    materialized once per query in the checkpoint directory; ``columns``
+    names those a consumer reads, and only what they need is computed."""
     df = mt.model_table(buyer_table(spark, sf_dir), SNAP)
+    if columns:
+        df = df.select(*columns)
     return materialize(df) if materialized else df
 
 
 def scored_binary(spark, sf_dir) -> DataFrame:
     """(ID_BUYER, label, score, prediction) over every buyer of the model table."""
-    m = model_table(spark, sf_dir)
+    m = model_table(spark, sf_dir, columns=["ID_BUYER", "REPEATER"])
     s = key_fraction("ID_BUYER", 42)
     return m.select("ID_BUYER", F.col("REPEATER").alias("label"), s.alias("score"),
                     (s >= 0.5).cast("int").alias("prediction"))
@@ -40,7 +43,7 @@ def scored_binary(spark, sf_dir) -> DataFrame:
 def uplift_predictions(spark, sf_dir, invert: bool = False, convention: str = "as_coded"):
     """Prediction table in the shape ``machine_learning`` returns, with fixed
     probabilities: outcome probability, four class probabilities, uplift score."""
-    m = model_table(spark, sf_dir).select("ID_BUYER", "REPEATER")
+    m = model_table(spark, sf_dir, columns=["ID_BUYER", "REPEATER"])
     m = up.assign_treatment(m)
     if invert:
         m = up.invert_treatment(m)

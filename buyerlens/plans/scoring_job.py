@@ -22,13 +22,15 @@ from buyerlens.operators import encode as en
 from buyerlens.operators import models as mo
 from buyerlens.operators import scoring as sc
 from buyerlens.plans import model_table as mt
-from buyerlens.session import ensure_checkpoint_dir
+from buyerlens.session import delete_on_exit, ensure_checkpoint_dir
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint directory."""
+    """A fresh folder under the cluster's shared checkpoint directory, deleted when the session ends."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "buyerlens-io", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, "buyerlens-io", f"{name}-{uuid.uuid4().hex[:12]}")
+    delete_on_exit(spark, path)
+    return path
 
 
 class ScoringArtifacts:
@@ -53,7 +55,7 @@ class ScoringArtifacts:
                 PipelineModel.load(os.path.join(self.path, "model")))
 
 
-def fit_target(model_tbl: DataFrame, target: str, path: str, max_iter: int = 20) -> list[str]:
+def fit_target(model_tbl: DataFrame, target: str, path: str, max_iter: int = 100) -> list[str]:
     """Fit encoder, scaler and a boosted model for one target and save them."""
     feats = mt.feature_columns(model_tbl)
     data = model_tbl.select("ID_BUYER", F.col(target).cast("double").alias("label"), *feats)

@@ -93,7 +93,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._buyerlens_shipped = True
 
 
-def write_shared(df, partitions: int | None = None):
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the session's JVM delete a work folder when it ends."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
+def write_shared(df):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Lineage is cut: a lost executor costs a re-read.  Readers prune columns.
@@ -102,11 +108,8 @@ def write_shared(df, partitions: int | None = None):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
-    if partitions:
-        df = df.coalesce(partitions)
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -121,13 +124,5 @@ def apply_query_conf(spark: SparkSession) -> None:
 
 
 def materialize(df):
-    """Write ``df`` to the reliable checkpoint directory and return a DataFrame
-    reading it back.
-
-    Used where one derived table feeds several branches of a plan: it is
-    computed once instead of once per branch, and its lineage is cut, so a
-    lost executor costs a re-read rather than a recomputation from the raw
-    tables.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` stored once because it feeds several branches of a plan; see ``write_shared``."""
+    return write_shared(df)

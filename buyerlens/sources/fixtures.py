@@ -155,11 +155,6 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("value").alias("COMMISSION")))
 
 
-def fixed_score(key: str = "ID_BUYER", seed: int = SCORE_SEED):
-    """Deterministic stand-in for a model probability."""
-    return key_fraction(key, seed)
-
-
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views (used only by the oracle queries).
 # ---------------------------------------------------------------------------

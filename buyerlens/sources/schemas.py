@@ -11,6 +11,7 @@ def struct(fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Names and order of the required purchase columns.
 PURCHASES = struct([
     ("ID_PRODUCT", L), ("ID_ORDER", L), ("ID_CATEGORY", S), ("ID_SUBCATEGORY", S),
     ("ID_CONDITION", I), ("ID_BRAND", S), ("UNIVERSE", S), ("DEPOSIT_PRICE", D),
