@@ -32,10 +32,11 @@ OTHER = "other"
 @dataclass
 class Targets:
     """Wanted token shares.  A dict names shares (the rest goes to ``other``); a number flattens
-    the measured shares to that power (1 keeps them, 0 makes them equal)."""
-    source: dict[str, float] | float = 0.7
-    lang: dict[str, float] | float = 0.7
-    topic: dict[str, float] | float = 0.7
+    the measured shares of the named categories to that power (1 keeps them, 0 makes them equal),
+    while ``other`` keeps its measured share."""
+    source: dict[str, float] | float = 0.9
+    lang: dict[str, float] | float = 0.9
+    topic: dict[str, float] | float = 0.9
 
 
 @dataclass
@@ -119,8 +120,10 @@ def _target(kind, total: dict[str, float]) -> dict[str, float]:
         share = {c: kind.get(c, 0.0) for c in total}
         share[OTHER] = share.get(OTHER, 0.0) or max(0.0, 1.0 - sum(v for c, v in kind.items() if c != OTHER))
         return share
-    share = {c: (t / whole) ** kind for c, t in total.items() if t > 0}
-    return {c: v / sum(share.values()) for c, v in share.items()}
+    rest = total.get(OTHER, 0.0) / whole
+    share = {c: (t / whole) ** kind for c, t in total.items() if t > 0 and c != OTHER}
+    share = {c: v / sum(share.values()) * (1 - rest) for c, v in share.items()}
+    return {**share, OTHER: rest} if rest else share
 
 
 def fit_mix(rows: DataFrame, targets: Targets, keep_share: float | None = None) -> Mix:
