@@ -66,8 +66,8 @@ def test_early_stopping_keeps_the_best_rounds(spark):
     rng = random.Random(0)
     rows = [(i, x := rng.random(), 10 * (x > 0.5) + 4 * (x > 0.8) + rng.gauss(0, 1.5), i % 4 == 0) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, x double, label double, valid boolean")
-    model = mo.early_stopped_gbt(df, "valid", ["x"], max_iter=80, patience=5, maxDepth=2, stepSize=0.2, seed=1)
-    rounds = model.stages[-1].getNumTrees
+    model = mo.early_stopped_gbt(df, "valid", ["x"], max_iter=80, patience=5, step=0.3, maxDepth=2)
+    rounds = model.stages[-1].getNumTrees - 1
     errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(df.where("valid")), "squared")
     assert 1 < rounds < 80 and errors[-1] == min(errors) and errors[-1] < 4
 
