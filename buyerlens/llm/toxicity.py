@@ -26,6 +26,8 @@ BITS = 18
 SIZES = (3, 4, 5)
 MAX_ROWS = 6000
 MAX_FEATURES = 16_000_000
+#: Features that the fit works on at a time.
+CHUNK = 500_000
 #: Parameters of the fit.
 SMOOTHING, L2, STEPS, RATE = 1.0, 1e-2, 100, 0.05
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -79,20 +81,31 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray) -> LinearModel:
     if share is not None:
         return LinearModel(np.zeros(dims, np.float32), float(np.log(share / (1 - share))), n, pos)
     counts = np.array([len(r) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(counts)])
     idx = np.concatenate(rows)
-    filled = np.flatnonzero(counts)
-    begin = (np.cumsum(counts) - counts)[filled]
-    p = SMOOTHING + np.bincount(idx[np.repeat(y == 1, counts)], minlength=dims)
-    q = SMOOTHING + np.bincount(idx[np.repeat(y == 0, counts)], minlength=dims)
+    # rows are worked through in chunks, so the driver holds the features once and little else
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(int(np.searchsorted(starts, starts[cuts[-1]] + CHUNK, side="right")) - 1, cuts[-1] + 1))
+    chunks = [(i, j, idx[starts[i]:starts[j]]) for i, j in zip(cuts, cuts[1:])]
+
+    def spread(values):
+        """Sum over rows of their value, per feature."""
+        return sum(np.bincount(part, weights=np.repeat(values[i:j], counts[i:j]), minlength=dims) for i, j, part in chunks)
+
+    p, q = SMOOTHING + spread(y), SMOOTHING + spread(1 - y)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     w, bias = np.zeros(dims), float(np.log(pos / (n - pos)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for step in range(1, STEPS + 1):
-        z = np.full(n, bias)
-        z[filled] += np.add.reduceat((w * ratio)[idx], begin)
+        z, scaled = np.full(n, bias), w * ratio
+        for i, j, part in chunks:
+            filled = np.flatnonzero(counts[i:j])
+            if len(filled):
+                z[i + filled] += np.add.reduceat(scaled[part], starts[i + filled] - starts[i])
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         g = np.empty(dims + 1)
-        g[:dims] = np.bincount(idx, weights=np.repeat(err, counts), minlength=dims) * ratio / n + L2 * w
+        g[:dims] = spread(err) * ratio / n + L2 * w
         g[dims] = err.mean()
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
