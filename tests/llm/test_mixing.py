@@ -1,5 +1,6 @@
 import numpy as np
 
+from buyerlens.llm import mixing
 from buyerlens.llm.mixing import OTHER, TOPIC_WORD, TOPICS, Targets, mixed, rake, sampled
 
 SCHEMA = "doc_id long, text string, source string, lang string, weight string"
@@ -67,3 +68,33 @@ def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sampled(empty).count() == 0 and mixed(empty).count() == 0
     assert OTHER == "other"
+
+
+def many_sources():
+    return [(i, "w " * 30, "hot" if i % 3 == 0 else f"s{i % 300}", "en" if i % 5 else "de", "") for i in range(900)]
+
+
+def test_small_sources_are_raked_to_their_own_targets(spark):
+    out = sampled(spark.createDataFrame(many_sources(), SCHEMA), Targets(source=0.5, lang=1.0, topic=1.0)).collect()
+    own, expect = {}, {}
+    for r in out:
+        own[r["source"]] = own.get(r["source"], 0) + r["n_tokens"] ** 1.0
+        expect[r["source"]] = expect.get(r["source"], 0) + r["n_tokens"] * r["probability"]
+    goal = {k: v ** 0.5 for k, v in own.items()}
+    assert len(own) == 201
+    for k, v in goal.items():
+        assert abs(expect[k] / sum(expect.values()) - v / sum(goal.values())) < 1e-6
+
+
+def test_cells_on_executors_give_the_same_mix(spark, monkeypatch):
+    data = rows()
+    df = spark.createDataFrame(data + [(10_000, "", "new", "en", ""), (10_001, None, None, None, "")], SCHEMA)
+    for targets, share in ((Targets(), None), (Targets(source={"big": 0.4}, lang={"de": 0.5, "en": 0.5}, topic=0.5), 0.3)):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", 50_000)
+        near = {r["doc_id"]: r for r in sampled(df, targets, share).collect()}
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+        far = {r["doc_id"]: r for r in sampled(df, targets, share).collect()}
+        assert near.keys() == far.keys()
+        assert all(abs(far[i]["probability"] - r["probability"]) < 1e-6 and abs(far[i]["weight"] - r["weight"]) < 1e-6 for i, r in near.items())
+        same = mixed(df, targets, share)
+        assert same.columns == df.columns and {r["doc_id"] for r in same.collect()} == {i for i, r in far.items() if r["kept"]}
