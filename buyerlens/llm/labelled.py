@@ -28,7 +28,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
 
 def collect_bounded(texts: DataFrame, featurize, kind: str, max_values: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature arrays and labels of the sampled documents, in the order of a hash of their ids,
-    as far as the arrays fit in ``max_values`` values.
+    as far as the arrays fit in ``max_values`` values; a document that does not fit any more is
+    skipped.  Only the sizes of the others' arrays reach the driver.
 
     ``featurize`` maps a text column to one array of ``kind`` (int or float) per row.
     """
@@ -45,18 +46,17 @@ def collect_bounded(texts: DataFrame, featurize, kind: str, max_values: int) ->
     sizes = sorted((r["turn"], r["ord"], r["n"]) for r in stored.select("turn", "ord", "n").collect())
     taken, total = [], 0
     for _, ord_, n in sizes:
-        total += n
-        if total > max_values:
-            break
-        taken.append(ord_)
+        if total + n <= max_values:
+            total += n
+            taken.append(ord_)
     if not taken:
         return [], np.zeros(0)
-    keep = set(taken)
-    table = stored.select("ord", "y", "features").toArrow()
+    keep = texts.sparkSession.createDataFrame([(o,) for o in taken], "ord long")
+    table = stored.select("ord", "y", "features").join(F.broadcast(keep), "ord").toArrow()
     flat = table.column("features").combine_chunks()
     offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
     ids, y = table.column("ord").to_numpy(), table.column("y").to_numpy()
-    use = [k for k in np.argsort(ids, kind="stable") if int(ids[k]) in keep]
+    use = np.argsort(ids, kind="stable")
     return [values[offsets[k]:offsets[k + 1]] for k in use], y[use].astype(float)
 
 

@@ -102,3 +102,21 @@ def test_edges_of_both_scores(spark):
     assert t.keep_clean(docs, model).count() == 5 and t.keep_clean(docs, model).columns == docs.columns
     nothing = docs.filter(F.lit(False))
     assert t.score(nothing, model).count() == 0 and q.score(nothing, q.fit(docs, empty)).count() == 0
+
+
+def test_sample_skips_what_does_not_fit_and_collects_the_rest_only(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from buyerlens.llm.labelled import collect_bounded
+
+    ids = [r["i"] for r in spark.range(20).select(F.col("id").alias("i")).orderBy(F.xxhash64("id")).collect()]
+    sizes = {i: 1000 if n in (0, 7) else 10 for n, i in enumerate(ids)}
+    texts = spark.createDataFrame([(i, i % 2, "x" * sizes[i]) for i in ids], "ord long, y int, text string")
+    kind, got = type(texts), []
+    monkeypatch.setattr(kind, "toArrow", lambda self, f=kind.toArrow: got.append(f(self)) or got[-1])
+    rows, y = collect_bounded(texts, lambda col: [[1] * len(t) for t in col.to_pylist()], "int", 100)
+    want = sorted([i for i in ids if sizes[i] == 10][:10])
+    assert [len(r) for r in rows] == [10] * 10 and y.tolist() == [i % 2 for i in want]
+    assert [sum(len(v) for v in t.column("features").to_pylist()) for t in got] == [100]
+    assert pa.types.is_list(got[0].column("features").type)
