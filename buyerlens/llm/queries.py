@@ -7,6 +7,7 @@ from buyerlens.llm.decontaminate import op7_decontaminate
 from buyerlens.llm.embedding_dedup import op2_embedding
 from buyerlens.llm.minhash_join import op9_minhash
 from buyerlens.llm.mixing import op5_mixing
+from buyerlens.llm.packing import op12_packing
 from buyerlens.llm.periodic_runs import op11_periodic_runs
 from buyerlens.llm.pii import op3_pii
 from buyerlens.llm.quality_crf import op10_quality
@@ -27,4 +28,5 @@ QUERIES = {
     "op9_minhash": (op9_minhash, None),
     "op10_quality": (op10_quality, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_packing": (op12_packing, None),
 }
