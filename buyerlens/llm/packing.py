@@ -7,7 +7,7 @@ document ends (free), sentence ends (a small penalty) or, in long sentences
 and in the last window of a partition, other tokens (a larger one).  With cut
 positions ``c`` the cheapest way to end a window at ``i`` is
 
-    f(i) = penalty(i) + min(window - c_i + min_j (f(j) + c_j), min_j' f(j'))
+    f(i) = penalty(i) + min(window - c_i + min_j (f(j) + c_j), SHORT + min_j' f(j'))
 
 where ``j`` ranges over cuts at most ``window`` before ``i`` (a sliding minimum,
 kept in a monotone queue) and ``j'`` over the cuts at a power of two before it.
@@ -35,12 +35,14 @@ WINDOW = 2048
 END_ID = 1
 #: Penalties, in tokens of padding, of ending a window at a sentence end or within a sentence.
 SENTENCE, HARD = 1, 16
+#: What an unpadded sequence shorter than the window costs, so that sequences stay long.
+SHORT = 64
 #: Sentences above this many tokens may be cut at each such distance.
 LONG_SENTENCE = 128
 #: Bytes of text worked on at a time, or one longer text.
 GROUP_BYTES = 4 << 20
 #: Bytes handed to the tokenizer as one string, and remembered pieces at most.
-ENCODE_BYTES, REMEMBERED = 1 << 16, 400_000
+ENCODE_BYTES, REMEMBERED = 1 << 16, 1_000_000
 #: Sequences of one partition are numbered from its number times this.
 PARTITION_SEQUENCES = 1 << 33
 
@@ -50,6 +52,10 @@ _STARTS = np.zeros(256, bool)
 _STARTS[0x21:0x7F] = True
 _STARTS[0xC3:0xF5] = True
 _STARTS[[0xE1, 0xE2, 0xE3]] = False
+# Marks that are split off behind an ASCII letter.
+_MARKS, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+_LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,8 +68,9 @@ def _byte_alphabet() -> dict[str, int]:
 class WordTokenizer:
     """Ids of texts by a byte-level BPE tokenizer that splits words off before their space.
 
-    Such a tokenizer never joins what precedes a space with the visible character after it, so a
-    text's ids are those of its pieces between such places, and equal pieces are encoded once.
+    Such a tokenizer never joins what precedes a space with the visible character after it, nor a
+    letter with a punctuation mark after it, so a text's ids are those of its pieces between such
+    places, and equal pieces are encoded once.
     """
 
     def __init__(self, path: str):
@@ -92,36 +99,32 @@ class WordTokenizer:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _encode(self, pieces: list[bytes], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after another and the number of each; pieces that open a text are encoded alone."""
-        texts, owners, i = [], [], 0
-        while i < len(pieces):
-            j, size = i + 1, len(pieces[i])
-            while not alone[i] and j < len(pieces) and not alone[j] and size + len(pieces[j]) <= ENCODE_BYTES:
-                size += len(pieces[j])
-                j += 1
-            texts.append(b"".join(pieces[i:j]).decode("utf-8"))
-            owners.append((i, j))
-            i = j
+        """Ids of all pieces one after another and the number of each; ``alone`` pieces are encoded one by one."""
         sizes = np.array([len(p) for p in pieces], np.int64)
-        counts, found = np.zeros(len(pieces), np.int64), []
-        for (i, j), enc in zip(owners, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(enc.ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes[i:j]), side="right")
-            counts[i:j] = np.diff(ends, prepend=0)
-            found.append(ids)
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), counts
-
-    def _learn(self, keys, pieces, alone):
+        ends = np.cumsum(sizes)
+        # strings of about ENCODE_BYTES, cut before and after every piece that is alone
+        mark = np.zeros(len(pieces) + 1, bool)
+        mark[:-1] |= alone
+        mark[1:] |= alone
+        block = (ends - sizes) // ENCODE_BYTES
+        mark[1:-1] |= block[1:] != block[:-1]
+        mark[[0, -1]] = True
+        cuts = np.flatnonzero(mark).tolist()
+        texts = [b"".join(pieces[i:j]).decode("utf-8") for i, j in zip(cuts, cuts[1:])]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
+        last = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")
+        return ids, np.diff(last, prepend=0)
+
+    def _learn(self, keys, place, pieces, alone):
         ids, counts = self._encode(pieces, alone)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         first = self.used + np.cumsum(counts) - counts
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, counts])[order]
+        self.keys = np.insert(self.keys, place, keys)
+        self.first, self.count = np.insert(self.first, place, first), np.insert(self.count, place, counts)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another and the token number at which each text starts."""
@@ -130,14 +133,17 @@ class WordTokenizer:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         edge = np.zeros(n, bool)
         edge[:-1] = (data[:-1] == 0x20) & _STARTS[data[1:]]
+        mark = np.zeros(n, bool)
+        mark[1:] = _MARKS[data[1:]] & _LETTERS[data[:-1]]
+        edge |= mark
         opens = np.unique(offsets[:-1][np.diff(offsets) > 0])
         edge[opens] = True
         s = np.flatnonzero(edge)
         e = np.append(s[1:], n)
-        opening = np.zeros(len(s), bool)
-        opening[np.searchsorted(s, opens)] = True
-        # a piece that opens a text may start with any byte and is kept apart from equal bytes elsewhere
-        h = span_hashes(data, s, e) ^ np.where(opening, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        # pieces that open a text or start with a mark might join what stands before them
+        alone = mark[s]
+        alone[np.searchsorted(s, opens)] = True
+        h = span_hashes(data, s, e) ^ np.where(alone, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         u, at, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(u) > REMEMBERED:
             self._forget()
@@ -147,7 +153,7 @@ class WordTokenizer:
         if new.any():
             raw = data.tobytes()
             fresh = at[new]
-            self._learn(u[new], [raw[a:b] for a, b in zip(s[fresh].tolist(), e[fresh].tolist())], opening[fresh])
+            self._learn(u[new], place[new], [raw[a:b] for a, b in zip(s[fresh].tolist(), e[fresh].tolist())], alone[fresh])
             place = np.searchsorted(self.keys, u)
         counts = self.count[place][back]
         ends = np.cumsum(counts)
@@ -162,6 +168,9 @@ class WordTokenizer:
         return out, starts
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
 def window_cuts(cuts: np.ndarray, penalty: np.ndarray, window: int, close: bool) -> list[int]:
     """Cheapest window ends among the ascending positions ``cuts`` of a stream that starts at 0.
 
@@ -170,27 +179,35 @@ def window_cuts(cuts: np.ndarray, penalty: np.ndarray, window: int, close: bool)
     """
     pos = np.concatenate([[0], cuts])
     n = len(pos)
-    jumps = {}
+    # pairs of cuts that are a power of two apart, by the later one
+    later, earlier = [], []
     t = 1
     while t < window:
         to = pos - t
         at = np.searchsorted(pos, to)
-        for i in np.flatnonzero((to >= 0) & (pos[np.minimum(at, n - 1)] == to)).tolist():
-            jumps.setdefault(i, []).append(int(at[i]))
+        hit = np.flatnonzero((to >= 0) & (pos[np.minimum(at, n - 1)] == to))
+        later.append(hit)
+        earlier.append(at[hit])
         t *= 2
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    order = np.argsort(later, kind="stable")
+    later, earlier = [*later[order].tolist(), n], earlier[order].tolist()
     where, pen = pos.tolist(), [0, *penalty.tolist()]
     cost, back = [0] * n, [0] * n
     queue = deque([(0, 0)])  # (f(j) + c_j, j), rising
-    none: list[int] = []
+    x, jump = 0, later[0]
     for i in range(1, n):
         c = where[i]
         while where[queue[0][1]] < c - window:
             queue.popleft()
-        low, j = queue[0]
-        best = low + window - c
-        for k in jumps.get(i, none):
-            if cost[k] < best:
-                best, j = cost[k], k
+        best, j = queue[0]
+        best += window - c
+        while jump == i:
+            if cost[earlier[x]] + SHORT < best:
+                j = earlier[x]
+                best = cost[j] + SHORT
+            x += 1
+            jump = later[x]
         best += pen[i]
         cost[i], back[i] = best, j
         key = best + c
@@ -263,7 +280,10 @@ def _rest(stream, stop):
 
 
 def _pack(batches, path: str, window: int, end_id: int):
-    tokenizer = WordTokenizer(path)
+    # a worker that runs several tasks keeps the pieces it has encoded
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    tokenizer = _tokenizers[path]
     closes = tokenizer.closes.copy()
     if end_id >= len(closes):
         closes = np.append(closes, np.zeros(end_id + 1 - len(closes), bool))

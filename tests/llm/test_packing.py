@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from buyerlens.llm.packing import HARD, WordTokenizer, cut_points, op12_packing, pack, window_cuts
+from buyerlens.llm.packing import HARD, SHORT, WordTokenizer, cut_points, op12_packing, pack, window_cuts
 from buyerlens.llm.text import column_bytes
 
 import pyarrow as pa
@@ -33,13 +33,17 @@ def test_ids_equal_whole_texts(plain):
             assert ids[starts[k]:starts[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def waste(size, window):
+    return min(window - size, SHORT if size & (size - 1) == 0 else window)
+
+
 def total(cuts, at, price, window):
     cost, last = 0, 0
     worth = dict(zip(at.tolist(), price.tolist()))
     for c in cuts:
         size = c - last
         assert 0 < size <= window
-        cost += worth[c] + (0 if size & (size - 1) == 0 else window - size)
+        cost += worth[c] + waste(size, window)
         last = c
     return cost
 
@@ -53,7 +57,7 @@ def test_cuts_are_cheapest(window):
         price = rng.choice([0, 1, 16], n)
         where, best = [0, *at.tolist()], [0]
         for i in range(1, n + 1):
-            ways = [best[j] + (0 if (d := where[i] - where[j]) & (d - 1) == 0 else window - d)
+            ways = [best[j] + waste(where[i] - where[j], window)
                     for j in range(i) if where[i] - where[j] <= window]
             best.append(min(ways) + price[i - 1])
         cuts = window_cuts(at, price, window, True)
