@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from buyerlens.llm.chaining import op4_chaining
 from buyerlens.llm.decontaminate import op7_decontaminate
+from buyerlens.llm.divergence import OP13_SQL, op13_divergence
 from buyerlens.llm.embedding_dedup import op2_embedding
 from buyerlens.llm.minhash_join import op9_minhash
 from buyerlens.llm.mixing import op5_mixing
@@ -29,4 +30,5 @@ QUERIES = {
     "op10_quality": (op10_quality, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_packing": (op12_packing, None),
+    "op13_divergence": (op13_divergence, OP13_SQL),
 }
