@@ -10,15 +10,19 @@ rows-only: their values come from fitted models.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from buyerlens.functions.hashing import key_fraction
+from buyerlens.operators import boosting as bo
 from buyerlens.operators import metrics as mx
 from buyerlens.operators import models as mo
 from buyerlens.operators import scoring as sc
+from buyerlens.operators import search as se
 from buyerlens.operators import uplift as up
 from buyerlens.operators.split import mark_test
 from buyerlens.plans import modeling as md
@@ -32,10 +36,6 @@ from buyerlens.sources import files
 from buyerlens.sources import schemas
 
 PARALLELISM = 8
-# Budget of the registered searches, shown in their output; the functions'
-# own default is the reference's 100 trials and its full range of rounds.
-SEARCH_TRIALS = 2
-SEARCH_ROUNDS = 5
 
 
 # ----------------------------------------------------------------- S1-S5
@@ -109,34 +109,30 @@ def q_m9(spark, sf_dir):
 @register("M10_random_search")
 def q_m10(spark, sf_dir):
     train, _, feats = _train(spark, sf_dir, "REPEATER")
-    _, trials = mo.search_classifier(train, feats, "fold", SEARCH_TRIALS, SEARCH_ROUNDS, parallelism=PARALLELISM)
+    _, trials = se.search_classifier(train, feats, "fold")
     return trials
 
 
 @register("M11_regressor_search")
 def q_m11(spark, sf_dir):
     train, _, feats = _train(spark, sf_dir, "CLTV", stratified=False)
-    _, trials = mo.search_regressor(train, feats, "fold", SEARCH_TRIALS, SEARCH_ROUNDS, parallelism=PARALLELISM)
+    _, trials = se.search_regressor(train, feats, "fold")
     return trials
 
 
 @register("M12_boosted_regressor_search")
 def q_m12(spark, sf_dir):
     train, _, feats = _train(spark, sf_dir, "CLTV", folds=5, stratified=False)
-    _, trials = mo.search_boosted_regressor(train, feats, "fold", SEARCH_TRIALS, SEARCH_ROUNDS,
-                                            parallelism=PARALLELISM)
+    _, trials = se.search_boosted_regressor(train, feats, "fold")
     return trials
 
 
 @register("M13_early_stopped_boosting")
 def q_m13(spark, sf_dir):
     train, test, feats = _train(spark, sf_dir, "CLTV", stratified=False)
-    train = train.withColumn("is_valid", F.col("fold") == 0)
-    model = mo.early_stopped_gbt(train, "is_valid", feats, max_iter=1000, patience=10,
-                                 maxDepth=3, minInstancesPerNode=20)
-    pred = model.transform(test).select("ID_BUYER", "label", "prediction")
-    return mx.regression_metrics(pred).withColumn(
-        "rounds", F.lit(model.stages[-1].getNumTrees - 1))  # the first tree is the mean
+    model = mo.early_stopped_boosting(train, feats, "fold", 0, depth=3, min_rows=20)
+    pred = model.predict(test).select("ID_BUYER", "label", "prediction")
+    return mx.regression_metrics(pred).withColumn("rounds", F.lit(model.ensembles[0].rounds))
 
 
 @register("M14_feature_importance")
@@ -159,6 +155,14 @@ def q_m15(spark, sf_dir):
     return mo.permutation_importance(model, test, feats, accuracy)
 
 
+@register("M15_tree_attributions")
+def q_m15_attributions(spark, sf_dir):
+    train, test, feats = _train(spark, sf_dir, "REPEATER")
+    spec = mo.boosted_specs("logistic")["LightGBM"]
+    model = bo.boost(train, feats, [("LightGBM", spec, None)], weight_col="weight")
+    return bo.mean_attributions(model, test)
+
+
 @register("E7_recursive_elimination")
 def q_e7(spark, sf_dir):
     train, _, feats = _train(spark, sf_dir, "CLTV", stratified=False)
@@ -179,8 +183,8 @@ def q_m1(spark, sf_dir):
 # ----------------------------------------------------------------- L3 / V9 on fitted models
 def uplift_model_predictions(spark, sf_dir, invert=False):
     """L3 ``predict``: stratified 70/30 split on treatment, an outcome model
-    (boosted trees, 2 classes) and a 4-class model (random forest: Spark's
-    boosted trees are binary only); treatment is not a feature."""
+    (boosted trees, 2 classes) and a boosted softmax model of the four classes;
+    treatment is not a feature."""
     from buyerlens.operators.split import stratified_split
     m = s.model_table(spark, sf_dir)
     feats = md.features_of(m, drop_encoded=True)
@@ -190,20 +194,17 @@ def uplift_model_predictions(spark, sf_dir, invert=False):
     base = up.target_class(base).fillna(-1.0, subset=feats)
     split = materialize(stratified_split(base, "treatment"))
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
-    asm = mo.assembler(feats)
-    etp = Pipeline(stages=[asm, GBTClassifier(labelCol="REPEATER", featuresCol=mo.FEATURES_COL,
-                                              maxIter=100, seed=42)]).fit(train)
-    etu = Pipeline(stages=[asm, RandomForestClassifier(labelCol="target_class",
-                                                       featuresCol=mo.FEATURES_COL,
-                                                       numTrees=100, seed=42)]).fit(train)
-    p1 = etp.transform(test).select(
+    spec = mo.boosted_specs("logistic")["XGBoost"]
+    with ThreadPoolExecutor(2) as pool:
+        outcome = pool.submit(bo.boost, train, feats, [("outcome", spec, None)], "REPEATER")
+        classes = pool.submit(bo.boost, train, feats, [("classes", replace(spec, loss="softmax", classes=4), None)], "target_class")
+        etp, etu = outcome.result(), classes.result()
+    p1 = etp.predict(test).select(
         "ID_BUYER", "REPEATER", "target_class", "treatment",
-        F.col("prediction").cast("int").alias("prediction_REPEATER"),
-        mo.vector_to_array("probability")[1].alias("proba_REPEATER"))
-    p2 = etu.transform(test).select(
+        F.col("prediction").cast("int").alias("prediction_REPEATER"), F.col("probability")[1].alias("proba_REPEATER"))
+    p2 = etu.predict(test).select(
         "ID_BUYER", F.col("prediction").cast("int").alias("prediction_target_class"),
-        *[mo.vector_to_array("probability")[i].alias(n)
-          for i, n in enumerate(["proba_CN", "proba_CR", "proba_TN", "proba_TR"])])
+        *[F.col("probability")[i].alias(n) for i, n in enumerate(["proba_CN", "proba_CR", "proba_TN", "proba_TR"])])
     return up.uplift_score(p1.join(p2, "ID_BUYER"))
 
 

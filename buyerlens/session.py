@@ -110,7 +110,18 @@ def write_shared(df):
     path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._buyerlens_path = path
+    return stored
+
+
+def free_shared(df) -> None:
+    """Delete the files of a table that ``write_shared`` returned, once a loop has superseded it."""
+    path = getattr(df, "_buyerlens_path", None)
+    if path:
+        spark = df.sparkSession
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def apply_query_conf(spark: SparkSession) -> None:

@@ -59,22 +59,3 @@ def test_streaming_scoring_csv_upload(spark, sf001):
                              file_format="csv")
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(root, "out")).count() == 40
-
-
-def test_early_stopping_keeps_the_best_rounds(spark):
-    import random
-    rng = random.Random(0)
-    rows = [(i, x := rng.random(), 10 * (x > 0.5) + 4 * (x > 0.8) + rng.gauss(0, 1.5), i % 4 == 0) for i in range(400)]
-    df = spark.createDataFrame(rows, "id long, x double, label double, valid boolean")
-    model = mo.early_stopped_gbt(df, "valid", ["x"], max_iter=80, patience=5, step=0.3, maxDepth=2)
-    rounds = model.stages[-1].getNumTrees - 1
-    errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(df.where("valid")), "squared")
-    assert 1 < rounds < 80 and errors[-1] == min(errors) and errors[-1] < 4
-
-
-def test_search_spaces_draw_feature_shares(spark):
-    from pyspark.ml.regression import GBTRegressor
-    maps = mo.random_param_maps(GBTRegressor(), mo._bounded(mo.BOOSTED_REGRESSOR_SPACE, 20), 5)
-    for m in maps:
-        by = {p.name: v for p, v in m.items()}
-        assert 0.1 <= float(by["featureSubsetStrategy"]) <= 1 and by["maxIter"] == 20
