@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from buyerlens.llm.labelled import collect_bounded, held_out, no_model_score, training_texts
+from buyerlens.llm.text import column_bytes, row_groups
 from buyerlens.session import ship_package
 
 BITS = 18
 SIZES = (3, 4, 5)
 MAX_ROWS = 6000
 MAX_FEATURES = 16_000_000
+#: Bytes of text that a task turns into Python strings at a time.
+SLICE_BYTES = 1 << 20
 #: Features that the fit works on at a time.
 CHUNK = 500_000
 #: Parameters of the fit.
@@ -131,17 +134,26 @@ def text_scores(texts, model: LinearModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _slices(batch, at: int):
+    """Parts of a batch whose texts have at most ``SLICE_BYTES`` together, or one longer text."""
+    _, offsets = column_bytes(batch.column(at).cast(pa.string()))
+    for i, j in row_groups(offsets, SLICE_BYTES):
+        yield batch.slice(i, j - i)
+
+
 def _score(batches, model):
     for batch in batches:
-        s = text_scores(batch.column("text").to_pylist(), model.value)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+        for part in _slices(batch, 1):
+            s = text_scores(part.column(1).to_pylist(), model.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
 
 def _pass(batches, model, limit: float):
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        s = text_scores(batch.column(at).to_pylist(), model.value)
-        yield batch.filter(pa.array(s < limit))
+        for part in _slices(batch, at):
+            s = text_scores(part.column(at).to_pylist(), model.value)
+            yield part.filter(pa.array(s < limit))
 
 
 def score(docs: DataFrame, model: LinearModel) -> DataFrame:
