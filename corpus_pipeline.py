@@ -11,9 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from buyerlens.llm import decontaminate, minhash_join, mixing, sharding, toxicity
-from buyerlens.session import write_shared
+from buyerlens.session import free_shared, write_shared
 
 
+#: Rows that pass between Spark and its Python workers at a time: texts are long, and every worker of an
+#: executor holds its batches several times over.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(stage):
+    """A stage that exchanges small Arrow batches with its Python workers."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
+@_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the n-gram classifier (operator 8) scores below 0.5.  It is trained on the
     labelled rows of ``docs`` outside the evaluation fold."""
@@ -21,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
+@_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (operator 9; five-word shingles, 0.8): the one with
     the smallest doc_id.  Only dropped ids are joined, so rows without an id stay."""
@@ -29,16 +45,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(dropped, docs.doc_id == F.col("_dropped"), "left_anti")
 
 
+@_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item (operator 7)."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares are raked to flattened source, language and topic marginals (operator 5)."""
     return mixing.mixed(docs)
 
 
+@_small_batches
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns plus the shard of each document, and its shard with one more (operator 6)."""
     tree = sharding.build_tree(24)
@@ -60,5 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir))
+        kept = write_shared(stage(spark, docs, sf_dir))
+        free_shared(docs)
+        docs = kept
     return docs
