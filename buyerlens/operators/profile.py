@@ -6,8 +6,11 @@ such as the 10-bin grid), unpivoted to a long result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from buyerlens.operators.aggregate import EXACT_DECIMAL, exact_sum
@@ -107,22 +110,43 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A14 ``corr_plot`` data: Pearson r for the lower triangle (diagonal
     included), pairwise-complete like pandas; NULL for a constant column.
 
-    Each row is exploded into its (a, b) value pairs and aggregated by pair:
-    a narrow plan (three aggregates) whose map-side partial aggregation
-    shrinks every task to one row per pair before the shuffle.
+    Every task adds up one block of co-moments of its rows - counts, sums,
+    squares and products, each a matrix product of the value and presence
+    matrices - and the blocks are summed.  Values are taken relative to the
+    column's median, so that little precision is lost; a variance below 1e-12 of
+    the mean square is that of a constant column.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    exploded = df.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(_q(a)).cast("double").alias("xa"), F.col(_q(b)).cast("double").alias("xb"))
-        for a, b in pairs])).alias("s")).select("s.*")
-    both = exploded.where(F.col("xa").isNotNull() & F.col("xb").isNotNull())
-    agg = both.groupBy("col_a", "col_b").agg(
-        F.covar_pop("xa", "xb").alias("c"), F.var_pop("xa").alias("va"), F.var_pop("xb").alias("vb"))
-    names = df.sparkSession.createDataFrame(pairs, "col_a string, col_b string")
-    r = F.when((F.col("va") == 0) | (F.col("vb") == 0), F.lit(None).cast("double")) \
-         .otherwise(F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
-    return names.join(agg, ["col_a", "col_b"], "left").select("col_a", "col_b", r.alias("corr"))
+    cols = list(cols)
+    d = len(cols)
+    values = df.select(*[F.col(_q(c)).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    middle = values.agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"x{i}") for i in range(d)]).first()
+    shift = np.array([middle[i] if middle[i] is not None else 0.0 for i in range(d)])
+    blocks = values.mapInArrow(functools.partial(_co_moments, shift=shift),
+                               "at int, n double, sa double, sb double, qa double, qb double, ab double")
+    total = blocks.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")])
+    pairs = [(i * d + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols[: i + 1])]
+    names = df.sparkSession.createDataFrame(pairs, "at int, col_a string, col_b string")
+    n = F.col("n")
+    var = {c: F.col(f"q{c}") / n - (F.col(f"s{c}") / n) * (F.col(f"s{c}") / n) for c in "ab"}
+    constant = (var["a"] <= F.col("qa") / n * 1e-12) | (var["b"] <= F.col("qb") / n * 1e-12)
+    c = F.col("ab") / n - (F.col("sa") / n) * (F.col("sb") / n)
+    r = F.when((n == 0) | constant, F.lit(None).cast("double")).otherwise(c / F.sqrt(var["a"] * var["b"]))
+    return names.join(total.where("n > 0"), "at", "left").select("col_a", "col_b", r.alias("corr"))
+
+
+def _co_moments(batches, shift: np.ndarray):
+    """One row per pair of columns with the co-moments of this task's rows that hold both."""
+    d = len(shift)
+    sums = np.zeros((6, d, d))
+    for batch in batches:
+        x = np.stack([np.asarray(batch.column(i).fill_null(np.nan), float) for i in range(d)], axis=1) - shift
+        there = (~np.isnan(x)).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        # at [a, b]: rows with both, sum and squares of a and of b over them, products
+        sums += np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+    flat = sums.reshape(6, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d), pa.int32()), *[pa.array(v) for v in flat]],
+                                     ["at", "n", "sa", "sb", "qa", "qb", "ab"])
 
 
 def quartiles_by(df: DataFrame, group: str, col: str) -> DataFrame:

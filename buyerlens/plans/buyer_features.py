@@ -3,12 +3,14 @@
 Shuffle budget at scale (all keyed on ID_BUYER):
 
 * D1: the purchase rows are reduced once to one row per (buyer, 5 categorical
-  codes) combination (1 shuffle, partial agg).  That intermediate feeds both
+  codes) combination (1 shuffle, partial agg), which is stored.  It feeds both
   the mode computation and the buyer-level means / max / first row, so the
-  fact table is scanned once (exchange reuse).  Offers are pre-aggregated
-  per buyer and joined to the per-buyer result.
+  fact table is scanned once.  Offers are pre-aggregated per buyer and joined
+  to the per-buyer result.
 * D2/D3: one ``groupBy(ID_BUYER)`` each; the table-wide latest date is a
   one-row aggregate broadcast back.
+* The null-ratio contract of each raw table is observed by the job that stores
+  its reduction and fails before anything is built on it.
 * D4: two left joins of tables that are already hash-partitioned by
   ID_BUYER; AQE broadcasts a side at runtime only when its measured size is
   under the broadcast threshold.
@@ -24,7 +26,8 @@ from buyerlens import params
 from buyerlens.functions.dates import floor_days_between
 from buyerlens.functions.maps import buyer_type_label, gender_net_map
 from buyerlens.operators.aggregate import EXACT_DECIMAL, exact_mean, group_mode, sum0
-from buyerlens.operators.clean import check_dense
+from buyerlens.operators.clean import observe_dense
+from buyerlens.session import materialize
 from buyerlens.sources.schemas import PURCHASES
 
 PURCHASE_COLUMNS = PURCHASES.names
@@ -75,17 +78,20 @@ def purchase_features(purchases: DataFrame, offers: DataFrame,
     of the rows is reduced by map-side aggregation before any join or
     shuffle on the buyer key.
     """
+    verify = None
     if check_contract:
-        check_dense(purchases, PURCHASE_COLUMNS, params.NULL_RATIO_PURCHASES)
+        purchases, verify = observe_dense(purchases, PURCHASE_COLUMNS, params.NULL_RATIO_PURCHASES)
     rows = purchase_rows(purchases)
-    # Reduce to one row per (buyer, categorical combination); both branches
-    # below read this aggregate, so its exchange is computed once and reused.
+    # one row per (buyer, categorical combination), read by both branches below
     combo = rows.groupBy("ID_BUYER", *MODE_COLUMNS).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(F.col(c).cast(EXACT_DECIMAL)).alias(f"__s_{c}") for c in MEAN_COLUMNS],
         F.max("REPEATER").alias("__rep"),
         F.min(F.struct(*[F.col(c) for c in FIRST_ORDER],
                        *[F.col(c).alias(f"__v_{c}") for c in ROW_FIRST_COLUMNS])).alias("__first"))
+    combo = materialize(combo)
+    if verify:
+        verify()
     buyer = combo.groupBy("ID_BUYER").agg(
         F.sum("__n").alias("__n"),
         *[F.sum(f"__s_{c}").alias(f"__s_{c}") for c in MEAN_COLUMNS],
@@ -135,15 +141,20 @@ COMMENTS_SPEC = ActivitySpec(
     recency="Recency_comment", frequency="Frequnecy_comment_12M")
 
 
-def activity_features(events: DataFrame, spec: ActivitySpec,
-                      cutoff: str = params.ACTIVITY_CUTOFF) -> DataFrame:
+def activity_features(events: DataFrame, spec: ActivitySpec, cutoff: str = params.ACTIVITY_CUTOFF,
+                      ratio: float | None = None) -> DataFrame:
     """Totals, distinct counts, mean commission, last date, recency and
     count since the cutoff - one ``groupBy(ID_BUYER)``.
 
     Recency is measured against the latest activity date over all buyers
     (a one-row aggregate joined by broadcast).  A buyer with no dated row has
-    a NULL last date and a NULL recency, as in pandas.
+    a NULL last date and a NULL recency, as in pandas.  With ``ratio`` the columns
+    that are read must be non-null in that share of the rows.
     """
+    verify = None
+    if ratio is not None:
+        read = dict.fromkeys(["ID_BUYER", spec.date_col, *spec.sums.values(), *spec.distincts.values(), spec.mean_in])
+        events, verify = observe_dense(events, list(read), ratio)
     d = F.col(spec.date_col)
     cut = F.to_timestamp_ntz(F.lit(cutoff))
     agg = (events.where(F.col("ID_BUYER").isNotNull()).groupBy("ID_BUYER").agg(
@@ -152,11 +163,17 @@ def activity_features(events: DataFrame, spec: ActivitySpec,
         exact_mean(spec.mean_in).alias(spec.mean_out),
         F.max(d).alias(spec.last_date),
         F.count(F.when(d >= cut, F.lit(1))).alias(spec.frequency)))
-    # The latest date over buyers equals the latest dated row of a keyed buyer:
-    # a map-side max per task and a one-row merge, instead of re-running the
-    # grouped aggregation for a single scalar.
-    latest = (events.where(F.col("ID_BUYER").isNotNull())
-              .agg(F.max(d).alias("__latest")))
+    if verify:
+        # stored once with its counts: the latest date needs no second scan either
+        agg = materialize(agg)
+        verify()
+        latest = agg.agg(F.max(spec.last_date).alias("__latest"))
+    else:
+        # The latest date over buyers equals the latest dated row of a keyed buyer:
+        # a map-side max per task and a one-row merge, instead of re-running the
+        # grouped aggregation for a single scalar.
+        latest = (events.where(F.col("ID_BUYER").isNotNull())
+                  .agg(F.max(d).alias("__latest")))
     out = agg.crossJoin(F.broadcast(latest)).withColumn(
         spec.recency, floor_days_between("__latest", spec.last_date)).drop("__latest")
     cols = (["ID_BUYER"] + list(spec.sums) + list(spec.distincts)
@@ -164,14 +181,14 @@ def activity_features(events: DataFrame, spec: ActivitySpec,
     return out.select(*cols)
 
 
-def likes_features(likes: DataFrame, cutoff: str = params.ACTIVITY_CUTOFF) -> DataFrame:
+def likes_features(likes: DataFrame, cutoff: str = params.ACTIVITY_CUTOFF, check_contract: bool = False) -> DataFrame:
     """D2 ``data_processing_likes``."""
-    return activity_features(likes, LIKES_SPEC, cutoff)
+    return activity_features(likes, LIKES_SPEC, cutoff, params.NULL_RATIO_LIKES if check_contract else None)
 
 
-def comments_features(comments: DataFrame, cutoff: str = params.ACTIVITY_CUTOFF) -> DataFrame:
+def comments_features(comments: DataFrame, cutoff: str = params.ACTIVITY_CUTOFF, check_contract: bool = False) -> DataFrame:
     """D3 ``data_preprocessing_comment``."""
-    return activity_features(comments, COMMENTS_SPEC, cutoff)
+    return activity_features(comments, COMMENTS_SPEC, cutoff, params.NULL_RATIO_COMMENTS if check_contract else None)
 
 
 def merge_buyer_table(purchase_feats: DataFrame, likes_feats: DataFrame,
@@ -185,5 +202,5 @@ def buyer_table(purchases: DataFrame, offers: DataFrame, likes: DataFrame,
                 comments: DataFrame, cutoff: str = params.ACTIVITY_CUTOFF) -> DataFrame:
     """D1 + D2 + D3 + D4."""
     return merge_buyer_table(purchase_features(purchases, offers),
-                             likes_features(likes, cutoff),
-                             comments_features(comments, cutoff))
+                             likes_features(likes, cutoff, check_contract=True),
+                             comments_features(comments, cutoff, check_contract=True))

@@ -98,6 +98,51 @@ def q_m8(spark, sf_dir):
     return mo.classification_leaderboard(preds)
 
 
+# the leaderboards' aggregate step on fixed predictions: three models, folds and scores from key hashes
+_STEP_MODELS = ["first", "second", "third"]
+_STEP_FOLD = s.sql_frac("ID_BUYER", "fold")
+_STEP_CLASSES = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, CAST(floor(7 * {_STEP_FOLD}) AS INTEGER) AS fold, REPEATER AS y, "
+    f"CAST({s.sql_frac('ID_BUYER', m)} >= 0.{k + 3} AS INTEGER) AS p FROM d5" for k, m in enumerate(_STEP_MODELS))
+_STEP_VALUES = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, CAST(floor(7 * {_STEP_FOLD}) AS INTEGER) AS fold, CAST(CLTV AS DOUBLE) AS y, "
+    f"CLTV * {s.sql_frac('ID_BUYER', m)} AS p FROM d5" for m in _STEP_MODELS)
+
+
+def _fixed_predictions(spark, sf_dir, label, predict):
+    m = s.model_table(spark, sf_dir, columns=["ID_BUYER", label])
+    parts = [m.select(F.lit(name).alias("model"), F.floor(7 * key_fraction("ID_BUYER", "fold")).cast("int").alias("fold"),
+                      F.col(label).alias("label"), predict(k, key_fraction("ID_BUYER", name)).alias("prediction"))
+             for k, name in enumerate(_STEP_MODELS)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("M8_leaderboard_step", sql=s.sql_with_model([
+    ("preds", _STEP_CLASSES),
+    ("counts", """SELECT model, fold, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp,
+       count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn FROM preds GROUP BY model, fold"""),
+    ("scores", """SELECT model, fold, (tp + tn) / (tp + fp + fn + tn) AS a, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p,
+       CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f FROM counts""")],
+    """SELECT model AS "Model", avg(a) AS "Accuracy", avg(p) AS "Precision", stddev_pop(p) AS "Precision_Std", avg(r) AS "Recall",
+       stddev_pop(r) AS "Recall_Std", avg(f) AS "F1", stddev_pop(f) AS "F1_std" FROM scores GROUP BY model"""),
+    round_cols=["Accuracy", "Precision", "Precision_Std", "Recall", "Recall_Std", "F1", "F1_std"])
+def q_m8_step(spark, sf_dir):
+    return mo.classification_leaderboard(_fixed_predictions(
+        spark, sf_dir, "REPEATER", lambda k, x: (x >= (k + 3) / 10).cast("int")))
+
+
+@register("M9_leaderboard_step", sql=s.sql_with_model([
+    ("preds", _STEP_VALUES),
+    ("scores", """SELECT model, fold, avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse,
+       1 - sum((y - p) ** 2) / (var_pop(y) * count(y)) AS r2 FROM preds GROUP BY model, fold""")],
+    """SELECT model AS "Model", avg(mae) AS "MAE", avg(mse) AS "MSE", sqrt(avg(mse)) AS "RMSE", avg(r2) AS "R2"
+       FROM scores GROUP BY model"""), round_cols=["MAE", "MSE", "RMSE", "R2"], digits=2)
+def q_m9_step(spark, sf_dir):
+    return mo.regression_leaderboard(_fixed_predictions(
+        spark, sf_dir, "CLTV", lambda k, x: F.col("CLTV").cast("double") * x))
+
+
 @register("M9_regressor_leaderboard")
 def q_m9(spark, sf_dir):
     train, _, feats = _train(spark, sf_dir, "CLTV", stratified=False)
