@@ -395,8 +395,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` for every row of ``docs(doc_id, text)``.
 
-    ``spans`` are the removed byte runs ``[start, stop)`` and ``kept`` the bytes left (null: all of
-    the text is left).  Null texts are empty; texts under ``width`` bytes keep everything; of equal
+    ``spans`` are the removed byte runs ``[start, stop)`` and ``kept`` the bytes left.  Null texts are empty; texts under ``width`` bytes keep everything; of equal
     texts of ``width`` bytes or more nothing is left.  Rows with null or repeated doc_id are texts
     like any other.  Other columns are ignored.
     """
@@ -438,11 +437,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     result = texts.filter("copies = 1").select("tid", "text").join(windows, "tid").mapInArrow(
         partial(_cut, width=width),
         "tid binary, spans array<struct<start: long, stop: long>>, kept binary, kept_sha256 string")
-    return _assemble(rows, classes, result, width)
+    return _assemble(base, classes, result, width)
 
 
-def _assemble(rows: DataFrame, classes: DataFrame, result: DataFrame, width: int) -> DataFrame:
-    out = rows.join(classes.filter("copies > 1").select("tid", "copies"), "tid", "left").join(result, "tid", "left")
+def _assemble(base: DataFrame, classes: DataFrame, result: DataFrame, width: int) -> DataFrame:
+    out = base.join(classes.filter("copies > 1").select("tid", "copies"), "tid", "left").join(result, "tid", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     spans = F.when(gone, whole).otherwise(F.coalesce("spans", F.slice(whole, 1, 0)))
@@ -451,8 +450,11 @@ def _assemble(rows: DataFrame, classes: DataFrame, result: DataFrame, width: int
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        "spans", F.when(gone, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))
+        "spans", F.when(gone, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "text")).alias("kept"))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans", "kept")
+    """The contract's columns and ``text``, what is left of the text; bytes of characters that a cut split
+    are shown as U+FFFD."""
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("spans", "kept")

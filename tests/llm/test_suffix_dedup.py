@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from buyerlens.llm.suffix_dedup import _blind_trie, common_prefix, deep_shallow_sort, remove_repeats
+from buyerlens.llm.suffix_dedup import _blind_trie, common_prefix, deep_shallow_sort, op1_suffix_dedup, remove_repeats
 
 
 def brute(texts, width):
@@ -93,3 +93,13 @@ def test_deep_shallow_sort_orders_and_measures():
 def test_blind_trie_keeps_equal_strings_together():
     strings = [np.frombuffer(s, np.uint8) for s in (b"aab", b"aa", b"aab", b"aac")]
     assert [k for k, _ in _blind_trie([0, 1, 2, 3], strings, 1)] == [1, 0, 2, 3]
+
+
+def test_kept_text_is_what_the_digest_is_of(spark, sf001):
+    rows = remove_repeats(spark.read.parquet(f"{sf001}/documents.parquet"))
+    for r in rows.collect():
+        assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
+    out = op1_suffix_dedup(spark, sf001)
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
+    assert all(r["text"] == texts[r["doc_id"]] for r in out.collect() if not r["n_removed"])
