@@ -9,7 +9,7 @@ The trials of a batch run as one Spark job, a task each, on a broadcast sample:
 the ``max_rows`` labelled rows first by a hash of their key, as bins of one byte a
 feature, so its size is bounded by the parameters.  A trial grows its ensembles
 of all folds together with the histogram boosting of ``operators.boosting`` and
-stops a fold after ``patience`` rounds without progress, so the number of rounds
+stops a fold once ``PATIENCE`` rounds brought too little progress, so the number of rounds
 is searched up to the limit that the trial draws.  The best parameters are
 refitted on the whole table with ``boosting.boost``.
 """
@@ -36,7 +36,8 @@ FIRST, BATCH = 10, 10
 CANDIDATES = 2000
 #: Labelled rows and bins of the search's sample.
 MAX_ROWS, BINS = 20_000, 63
-PATIENCE = 10
+#: A trial stops a fold once that many rounds lowered its held-out loss by less than this share.
+PATIENCE, MIN_PROGRESS = 10, 0.005
 
 # Search spaces of the reference, by the names of ``BoostSpec``: kind, lowest, highest (fixed values).
 CLASSIFIER_SPACE = {
@@ -202,7 +203,7 @@ def search(df: DataFrame, features: Sequence[str], space: dict, start: bo.BoostS
     while len(x) < n_trials:
         n = min(BATCH, n_trials - len(x))
         at = rng.random((min(FIRST, n_trials), len(space))) if not len(x) else propose(x, y, n, rng)
-        specs = [replace(start, patience=PATIENCE, **decode(space, u)) for u in at]
+        specs = [replace(start, patience=PATIENCE, min_progress=MIN_PROGRESS, **decode(space, u)) for u in at]
         done = (spark.range(0, len(specs), 1, len(specs))
                 .mapInArrow(partial(_run_trials, specs=specs, sent=sent, metric=metric), "id long, score double, rounds double").collect())
         by = {r["id"]: r for r in done}  # one row a trial
