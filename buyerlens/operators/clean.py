@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 
@@ -65,24 +65,16 @@ def check_dense(df: DataFrame, required: Sequence[str], ratio: float) -> None:
 
 
 def observe_dense(df: DataFrame, required: Sequence[str], ratio: float):
-    """The contract of ``check_dense`` without a scan of its own: ``(observed, verify)``, the required columns only.
+    """The contract of ``check_dense`` in two steps: ``(required columns, verify)``; call ``verify()`` before the
+    result is used.
 
-    The null counts are taken while ``observed`` is computed by the job that stores its result; call
-    ``verify()`` after that job and before the result is used.
+    The counts are one aggregate of their own.  An ``Observation`` would take them in the main job, but a
+    session that has used one can no longer serialise a ``LogisticRegressionModel`` with its summary.
     """
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise SchemaContractError(f"missing required columns: {missing}")
-    counts = Observation()
-    observed = df.select(*required).observe(counts, F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in required])
-
-    def verify() -> None:
-        seen = counts.get
-        sparse = [c for c in required if seen[c] < ratio * seen["__rows"]]
-        if sparse:
-            raise SchemaContractError(f"required columns too sparse (ratio {ratio}): {sparse}")
-
-    return observed, verify
+    return df.select(*required), lambda: check_dense(df, required, ratio)
 
 
 def sparse_column_profile(df: DataFrame, ratio: float) -> DataFrame:

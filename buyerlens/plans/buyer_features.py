@@ -9,8 +9,8 @@ Shuffle budget at scale (all keyed on ID_BUYER):
   to the per-buyer result.
 * D2/D3: one ``groupBy(ID_BUYER)`` each; the table-wide latest date is a
   one-row aggregate broadcast back.
-* The null-ratio contract of each raw table is observed by the job that stores
-  its reduction and fails before anything is built on it.
+* The null-ratio contract of each raw table is one aggregate of its own and
+  fails before anything is built on its reduction.
 * D4: two left joins of tables that are already hash-partitioned by
   ID_BUYER; AQE broadcasts a side at runtime only when its measured size is
   under the broadcast threshold.
@@ -164,7 +164,7 @@ def activity_features(events: DataFrame, spec: ActivitySpec, cutoff: str = param
         F.max(d).alias(spec.last_date),
         F.count(F.when(d >= cut, F.lit(1))).alias(spec.frequency)))
     if verify:
-        # stored once with its counts: the latest date needs no second scan either
+        # stored once: the latest date needs no second aggregation
         agg = materialize(agg)
         verify()
         latest = agg.agg(F.max(spec.last_date).alias("__latest"))
