@@ -6,10 +6,13 @@ pseudonyms in every document, different ones different pseudonyms:
 
 * ``card``: 13 to 19 digits, plain or in groups.  All but the last digit are permuted; the last one
   keeps its distance from the Luhn check digit, so valid numbers stay valid.
-* ``iban``: two letters, two check digits, country body that passes mod 97.  Digits of the body are
-  permuted and the check digits recomputed.
+* ``iban``: two letters, two check digits, country body that passes mod 97, plain or in groups of four
+  of the country's length.  Digits of the body are permuted and the check digits recomputed.
 * ``ssn``: ddd-dd-dddd; all digits permuted.
-* ``phone``: international number with ``+``; the digits after the country code are permuted.
+* ``phone``: international number with ``+``; the digits after the country code are permuted, so one
+  number has one pseudonym however it is spaced.  ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd``, with or without
+  a leading 1, are numbers of country 1 and linked with their international form.  Other national
+  numbers start with 0: the digits after it are permuted, unlinked with a form that names the country.
 * ``ipv4``: four octets up to 255, permuted as 32 bits.
 * ``date``: valid days of 1900 to 2099 as yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy, permuted among those days.
 * ``email``: letters and digits of the local part are permuted, case, marks and domain stay.
@@ -24,11 +27,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 _IN, _OUT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country calling codes of one and of two digits; all others have three.
+CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+
+def _grouped_iban() -> str:
+    """IBANs in groups of four, the last one as long as the country's length leaves it."""
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        full, rest = divmod(length - 4, 4)
+        last = f" [A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{full}}}{last}")
+    return "(?:" + "|".join(forms) + ")"
+
+
+#: National numbers of country 1, and those of other countries, whose leading 0 is no part of them.
+_NATIONAL = r"(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}"
+_TRUNK = r"0[0-9]{2,4}[ /-](?:[0-9]{6,8}|[0-9]{3,4}[ -][0-9]{3,4})"
 #: Tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}" + _OUT,
-    "iban": _IN + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _OUT,
+    "national": rf"(?<![0-9A-Za-z+.-])(?:{_NATIONAL}|{_TRUNK})(?![0-9A-Za-z]|[ .-][0-9])",
+    "iban": _IN + r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + _grouped_iban() + ")" + _OUT,
     "secret": _IN + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _OUT,
     "date": _IN + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _OUT,
     "ssn": _IN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _OUT,
@@ -122,12 +150,19 @@ def iban_valid(m: Column) -> Column:
     return _mod97(F.concat(F.substring(m, 5, 40), F.substring(m, 1, 4))) == 1
 
 
+def _compact(m: Column) -> Column:
+    return F.regexp_replace(m, " ", "")
+
+
 def _iban(m: Column, key: str) -> Column:
-    body, country = F.substring(m, 5, 40), F.substring(m, 1, 2)
-    digits = _digits(F.regexp_replace(body, "[^0-9]", ""))
-    check = lambda new: (98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string")
-    return let(_refill(body, "[0-9]", _strings(permute(digits, 10, key, country))),
-               lambda new: F.concat(country, F.lpad(check(new), 2, "0"), new))
+    def renewed(plain):
+        body, country = F.substring(plain, 5, 40), F.substring(plain, 1, 2)
+        digits = _digits(F.regexp_replace(body, "[^0-9]", ""))
+        check = lambda new: (98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string")
+        return let(_refill(body, "[0-9]", _strings(permute(digits, 10, key, country))),
+                   lambda new: F.concat(country, F.lpad(check(new), 2, "0"), new))
+
+    return let(_compact(m), lambda plain: _refill(m, "[A-Z0-9]", _chars(renewed(plain))))
 
 
 def _octets(m: Column) -> Column:
@@ -187,9 +222,20 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{7,})", 1)
-    return let(country, lambda c: let(_digits(F.regexp_replace(m, "[^0-9]", "")), lambda d: _refill(
-        m, "[0-9]", _strings(permute(F.slice(d, F.length(c) + 1, F.size(d)), 10, key, F.concat(F.lit("phone"), c))), F.length(c))))
+    """Only the digits decide: those of the country code stay, the others are permuted."""
+    def renewed(d, country, shown):
+        new = permute(F.slice(_digits(d), shown + 1, F.length(d)), 10, key, F.concat(F.lit("phone"), country))
+        return _refill(m, "[0-9]", _strings(new), shown)
+
+    def turn(d):
+        abroad = F.regexp_extract(d, f"^(?:{CALLING_CODE})", 0)
+        at_home = m.rlike(f"^{_NATIONAL}$")
+        country = F.when(m.startswith("+"), abroad).when(at_home, "1").otherwise("0")
+        # a national number of country 1 may leave the code out
+        shown = F.when(at_home, F.length(d) - 10).otherwise(F.length(country))
+        return let(country, lambda c: renewed(d, c, shown))
+
+    return let(F.regexp_replace(m, "[^0-9]", ""), turn)
 
 
 def _whole(m: Column, key: str, radix: int, name: str) -> Column:
@@ -202,8 +248,8 @@ def _whole(m: Column, key: str, radix: int, name: str) -> Column:
 def kind_of(m: Column) -> Column:
     """Kind of a match, null if it fails validation.  The order is that of ``PATTERNS``."""
     is_ = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    return (F.when(m.contains("@"), "email").when(m.startswith("+"), "phone")
-            .when(is_("iban") & iban_valid(m), "iban").when(is_("secret"), "secret")
+    return (F.when(m.contains("@"), "email").when(m.startswith("+") | is_("national"), "phone")
+            .when(is_("iban") & iban_valid(_compact(m)), "iban").when(is_("secret"), "secret")
             .when(is_("date"), F.when(_day(m).isNotNull(), F.lit("date")))
             .when(is_("ssn"), "ssn").when(is_("ipv4"), F.when(ipv4_valid(m), F.lit("ipv4")))
             .when(is_("card"), "card"))

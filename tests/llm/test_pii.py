@@ -45,6 +45,47 @@ def test_values_change_inside_their_format(spark):
     assert run(spark, [values[0]], key="other")[0]["text"] != out[0]["text"]
 
 
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def test_one_number_in_many_forms_has_one_pseudonym(spark):
+    groups = [
+        ["+491701234567", "+49 170 1234567", "+49 (170) 123 4567", "+49-170-1234567"],
+        ["+12665557228", "+1 (266) 555-7228", "+1 266 555 7228", "(266) 555-7228", "(266)555-7228", "266-555-7228",
+         "266.555.7228", "1-266-555-7228", "1 (266) 555-7228"],
+        ["+1 (017) 555-7713", "(017) 555-7713", "017-555-7713"],
+        ["+3584012345678", "+358 40 1234 5678"],
+        ["020 7946 0958", "0207 9460958", "020-7946-0958"],
+        ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+        ["NO9386011117947", "NO93 8601 1117 947"],
+        ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"],
+    ]
+    out = run(spark, [f"call {v}, THEN 12 more" for g in groups for v in g])
+    at = 0
+    for g in groups:
+        plain = set()
+        for v in g:
+            new = out[at]["text"][len("call "):-len(", THEN 12 more")]
+            assert out[at]["n_found"] == 1 and new != v, v
+            assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", v)
+            plain.add(new.replace(" ", "") if v[0].isalpha() else digits(new)[-10:])
+            at += 1
+        assert len(plain) == 1, (g, plain)
+        if g[0][0].isalpha():
+            assert mod97(plain.pop()) == 1
+        elif g[0].startswith("+"):
+            country = {"+49": "49", "+12": "1", "+1 ": "1", "+35": "358"}[g[0][:3]]
+            assert digits(out[at - len(g)]["text"]).startswith(country)
+
+
+def test_a_grouped_iban_ends_with_its_country_length(spark):
+    out = run(spark, ["DE89 3704 0044 0532 0130 00 1234 AND MORE", "DE88 3704 0044 0532 0130 00", "12-266-555-7228", "266-555-72281",
+                      "version 10.266.555"])
+    assert out[0]["found"][0]["kind"] == "iban" and out[0]["text"].endswith(" 1234 AND MORE")
+    assert [out[i]["n_found"] for i in (1, 2, 3, 4)] == [0, 0, 0, 0]
+
+
 def test_what_is_not_valid_stays(spark):
     texts = [None, "", "no digits", "300.1.1.1", "2023-02-29", "31.13.1999", "version 4.0.", "year 2024, 12 items", "1234567890123456789012",
              "DE00370400440532013000 is no IBAN", "x" * 300_000, "@@@", "1850-01-01"]
