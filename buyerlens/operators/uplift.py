@@ -14,7 +14,7 @@ from buyerlens.functions.hashing import key_bit
 from buyerlens.functions.maps import swap_binary
 from buyerlens.functions.numeric import safe_ratio_expr
 from buyerlens.operators.aggregate import exact_sum
-from buyerlens.operators.window import ordered_scan, pct_rank_desc
+from buyerlens.operators.window import ordered_scan, pct_rank_desc, tie_rank
 
 def assign_treatment(df: DataFrame, key: str = "ID_BUYER", seed=params.SEED,
                      out: str = "treatment") -> DataFrame:
@@ -66,7 +66,7 @@ def sorting_data(df: DataFrame, score: str, model: str, key: str = "ID_BUYER") -
     """L5 ``sorting_data`` for one model: percentile rank of the score,
     descending with average ties (W2); rows ordered by it, key as tie-break."""
     ranked = pct_rank_desc(df.select(key, "target_class", F.col(score).alias("score")),
-                           "score", out="n")
+                           "score", out="n", key=key)
     return (ranked.withColumn("model", F.lit(model))
             .orderBy(F.asc_nulls_last("n"), F.asc(key)))
 
@@ -112,24 +112,21 @@ def qini_from_scores(df: DataFrame, score: str, key: str = "ID_BUYER",
     distributed ordered scan.
 
     Rows are scanned in (score descending, NULLs last, key) order, which is
-    the order of the descending percentile rank with the key as tie-break.
-    The percentile rank itself needs each tie group's first position and
-    size - a per-score aggregate of the scan joined back by score.
+    the order of the descending percentile rank with the key as tie-break;
+    the scan also gives each tie's first position and size, from which the rank follows.
     """
     base = (df.select(F.col(key), F.col("target_class"), F.col(score).alias("score"))
             .withColumn("cr", (F.col("target_class") == 1).cast("long"))
             .withColumn("tr", (F.col("target_class") == 3).cast("long")))
     scan = ordered_scan(base, [("score", False), (key, True)], sum_cols=["cr", "tr"],
-                        pos_col="__pos", cum_prefix="cum_")
-    ties = (scan.where(F.col("score").isNotNull()).groupBy("score")
-            .agg(F.min("__pos").alias("__tie_first"), F.count(F.lit(1)).alias("__tie_n")))
+                        pos_col="__pos", cum_prefix="cum_", tie_cols=["score"])
     totals = scan.agg(F.count_if(F.col("target_class") <= 1).alias("__C"),
                       F.count_if(F.col("target_class") >= 2).alias("__T"),
                       F.sum("cr").alias("__CR"), F.sum("tr").alias("__TR"),
                       F.count("score").alias("__N"))
     c, t = F.col("__C"), F.col("__T")
-    n = ((F.col("__tie_first") - 1).cast("double") + (F.col("__tie_n") + 1) / 2.0) / F.col("__N")
-    curve = (scan.join(ties, "score", "left").crossJoin(F.broadcast(totals))
+    n = F.when(F.col("score").isNotNull(), tie_rank(F.col("__N")))
+    curve = (scan.crossJoin(F.broadcast(totals))
              .withColumn("n", n)
              .select(key, "target_class", "n", "score", "cr", "tr",
                      (F.col("cum_cr") / c).alias("cr_c"), (F.col("cum_tr") / t).alias("tr_t"),

@@ -19,11 +19,17 @@ An un-partitioned ``Window.orderBy`` moves every row into one task.  Instead,
    decimal values are kept as they are, and NULL is a group of its own.
 
 Only the boundary-group offsets travel to the driver; rows never do.
+
+Ties (rows equal in the leading order columns) get the position of their first
+row and their size in the same scan: the summaries also hold the length of each
+partition's first run of ties, so the size of a run that crosses partitions is
+known before the scan, and a run inside a partition is looked ahead to its end.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -55,13 +61,17 @@ def _sort_cols(spec):
 
 def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
                  sum_cols: Sequence[str] = (), pos_col: str = "_pos",
-                 cum_prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+                 cum_prefix: str = "cum_", num_partitions: int | None = None,
+                 tie_cols: Sequence[str] = ()) -> DataFrame:
     """Row number (1-based) and running sums within ``partition_by`` groups in
     the total order ``order_by``; exact and distributed.
 
     ``order_by`` is a list of column names or ``(name, ascending)`` tuples and
     must make the order total (append the key as tie-breaker).
-    Adds ``pos_col`` and ``cum_<c>`` for every ``c`` in ``sum_cols``.
+    Adds ``pos_col`` and ``cum_<c>`` for every ``c`` in ``sum_cols``.  With ``tie_cols``, the first
+    columns of ``order_by``, also ``tie_first`` and ``tie_n``: the position of the first row that equals
+    this one in them, and the number of such rows (NULL equals NULL).  A run of ties that starts and ends
+    inside a partition is held in memory up to its end, one that crosses partitions is not.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -75,57 +85,134 @@ def ordered_scan(df: DataFrame, order_by: Sequence, partition_by: Sequence[str]
     ranged = ranged.checkpoint(eager=True)
 
     sums = list(sum_cols)
-    stat_schema = T.StructType(
-        [T.StructField("pid", T.IntegerType()), T.StructField("rows", T.LongType()),
-         T.StructField("first_key", T.StringType()), T.StructField("last_key", T.StringType()),
-         T.StructField("last_n", T.LongType())]
-        + [T.StructField(f"last_s{j}", T.DoubleType()) for j in range(len(sums))])
+    ties = groups + list(tie_cols) if tie_cols else None
+    run_schema = [T.StructField("rows", T.LongType()), T.StructField("first_key", T.StringType()),
+                  T.StructField("last_key", T.StringType()), T.StructField("first_n", T.LongType()),
+                  T.StructField("last_n", T.LongType()),
+                  *[T.StructField(f"last_s{j}", T.DoubleType()) for j in range(len(sums))]]
+    stat_schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("groups", T.StructType(run_schema))]
+                               + ([T.StructField("ties", T.StructType(run_schema[:5]))] if ties else []))
 
     def part_stats(it):
         state = _ScanState(groups, sums, None)
+        tied = _ScanState(ties, [], None) if ties else None
         for batch in it:
             state.run(batch)
+            if tied:
+                tied.run(batch)
         if state.pid is None:
             return
-        rec = {"pid": state.pid, "rows": state.rows, "first_key": state.first_key,
-               "last_key": state.key, "last_n": state.n}
-        rec.update({f"last_s{j}": float(v) for j, v in enumerate(state.s)})
+        rec = {"pid": state.pid, "groups": state.summary()}
+        if tied:
+            rec["ties"] = tied.summary()
         yield pa.RecordBatch.from_pylist([rec], to_arrow_schema(stat_schema))
 
     # One summary row per non-empty partition: bounded metadata, the same
     # pattern zipWithIndex uses.
-    stats = sorted(ranged.mapInArrow(part_stats, stat_schema).collect(), key=lambda r: r["pid"])
-    offsets = {}
-    carry_key, carry_n, carry_s = None, 0, [0.0] * len(sums)
-    for r in stats:
-        if carry_key is not None and r["first_key"] == carry_key:
-            offsets[r["pid"]] = (carry_n, list(carry_s))
-        else:
-            offsets[r["pid"]] = (0, [0.0] * len(sums))
-        single = r["first_key"] == r["last_key"] and r["last_n"] == r["rows"]
-        base_n, base_s = offsets[r["pid"]] if single else (0, [0.0] * len(sums))
-        carry_key = r["last_key"]
-        carry_n = base_n + r["last_n"]
-        carry_s = [b + r[f"last_s{j}"] for j, b in enumerate(base_s)]
+    stats = [r.asDict(True) for r in sorted(ranged.mapInArrow(part_stats, stat_schema).collect(), key=lambda r: r["pid"])]
+    offsets = _carried({r["pid"]: r["groups"] for r in stats}, len(sums))
+    runs = _edge_runs({r["pid"]: r["ties"] for r in stats}) if ties else {}
 
     out_fields = [f for f in ranged.schema.fields if f.name != "__pid"]
     out_schema = T.StructType(out_fields + [T.StructField(pos_col, T.LongType())]
-                              + [T.StructField(cum_prefix + c, T.DoubleType()) for c in sums])
-    offsets_b = spark.sparkContext.broadcast(offsets)
+                              + [T.StructField(cum_prefix + c, T.DoubleType()) for c in sums]
+                              + ([T.StructField(c, T.LongType()) for c in ("tie_first", "tie_n")] if ties else []))
+    offsets_b = spark.sparkContext.broadcast((offsets, runs))
 
-    def scan(it):
-        state = _ScanState(groups, sums, offsets_b.value)
+    def positioned(it, tied):
+        """Batches with their positions and sums, and the position of each row in its run of ties."""
+        state = _ScanState(groups, sums, offsets_b.value[0])
         for batch in it:
             if batch.num_rows:
                 pos, cums = state.run(batch)
+                at = tied.run(batch)[0] if tied else None
                 names = [n for n in batch.schema.names if n != "__pid"]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(n) for n in names] + [pa.array(pos)] + [pa.array(c, pa.float64()) for c in cums],
-                    names + [pos_col] + [cum_prefix + c for c in sums])
+                cols = [batch.column(n) for n in names] + [pa.array(pos)] + [pa.array(c, pa.float64()) for c in cums]
+                names = names + [pos_col] + [cum_prefix + c for c in sums]
+                if tied:
+                    cols, names = cols + [pa.array(pos - at + 1)], names + ["tie_first"]
+                yield pa.RecordBatch.from_arrays(cols, names), at
+
+    def scan(it):
+        if not ties:
+            yield from (batch for batch, _ in positioned(it, None))
+            return
+        edges = offsets_b.value[1]
+        tied = _ScanState(ties, [], {pid: (e["before"], []) for pid, e in edges.items()})
+        rows = positioned(it, tied)
+        for first in rows:  # the state knows its partition once a batch is read
+            yield from _with_sizes(itertools.chain([first], rows), edges[tied.pid])
 
     return ranged.mapInArrow(scan, out_schema)
 
 
+def _carried(stats: dict, n_sums: int) -> dict:
+    """Rows and sums of the groups that go on from the partitions before, by partition.  ``stats`` are in order."""
+    offsets = {}
+    carry_key, carry_n, carry_s = None, 0, [0.0] * n_sums
+    for pid, r in stats.items():
+        if carry_key is not None and r["first_key"] == carry_key:
+            offsets[pid] = (carry_n, list(carry_s))
+        else:
+            offsets[pid] = (0, [0.0] * n_sums)
+        base_n, base_s = offsets[pid] if r["first_n"] == r["rows"] else (0, [0.0] * n_sums)
+        carry_key = r["last_key"]
+        carry_n = base_n + r["last_n"]
+        carry_s = [b + r[f"last_s{j}"] for j, b in enumerate(base_s)]
+    return offsets
+
+
+def _edge_runs(stats: dict) -> dict:
+    """Of each partition: rows before it in its first run of ties, length and whole size of its first run, first row
+    and whole size of its last one.  ``stats`` are in order."""
+    before = {pid: n for pid, (n, _) in _carried(stats, 0).items()}
+    out, later, key = {}, 0, None  # rows of the run that starts the partitions after this one, and its key
+    for pid, r in reversed(stats.items()):
+        after = later if r["last_key"] == key else 0
+        single = r["first_n"] == r["rows"]
+        out[pid] = {"before": before[pid], "first_n": r["first_n"],
+                    "first_size": before[pid] + r["first_n"] + (after if single else 0),
+                    "last_at": r["rows"] if single else r["rows"] - r["last_n"], "last_size": r["last_n"] + after}
+        key, later = r["first_key"], r["first_n"] + (after if single else 0)
+    return out
+
+
+def _with_sizes(rows, edge: dict):
+    """Batches with the size of each row's run of ties.  The first and the last run of the partition are known from
+    ``edge``; rows of another run wait until it ends."""
+    def sized(batch, size):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(size)], [*batch.schema.names, "tie_n"])
+
+    held, waiting, seen = [], 0, 0
+    for batch, at in rows:
+        n = batch.num_rows
+        lo, hi = (min(max(edge[c] - seen, 0), n) for c in ("first_n", "last_at"))
+        if lo:
+            yield sized(batch.slice(0, lo), np.full(lo, edge["first_size"]))
+        starts = lo + np.flatnonzero(at[lo:hi] == 1)
+        closed = seen + hi >= edge["last_at"]
+        first = int(starts[0]) if len(starts) else hi
+        if len(starts) or closed:
+            total = waiting + first - lo
+            for part in [*held, batch.slice(lo, first - lo)]:
+                if part.num_rows:
+                    yield sized(part, np.full(part.num_rows, total))
+            held, waiting = [], 0
+            ends = np.append(starts, hi) if closed else starts
+            cut = int(ends[-1]) if len(ends) else hi
+            if cut > first:
+                size = np.diff(ends)
+                yield sized(batch.slice(first, cut - first), np.repeat(size, size))
+        else:
+            cut = lo
+        if cut < hi:
+            held.append(batch.slice(cut, hi - cut))
+            waiting += hi - cut
+        if hi < n:
+            yield sized(batch.slice(hi), np.full(n - hi, edge["last_size"]))
+        seen += n
+
+
 def _changed(batch: pa.RecordBatch, groups) -> np.ndarray:
     """Whether each row's group differs from the row before it; NULL equals NULL and NaN equals NaN."""
     out = np.ones(batch.num_rows, dtype=bool)
@@ -146,11 +233,17 @@ class _ScanState:
 
     def __init__(self, groups, sums, offsets):
         self.groups, self.sums, self.offsets = groups, sums, offsets
-        self.pid, self.rows, self.first_key = None, 0, None
+        self.pid, self.rows, self.first_key, self.first_n = None, 0, None, 0
         self.key, self.n, self.s = None, 0, [0] * len(sums)
 
     def _key(self, batch, row) -> str:
-        return repr(tuple(batch.column(g)[row].as_py() for g in self.groups))
+        values = (batch.column(g)[row].as_py() for g in self.groups)
+        return repr(tuple(v + 0.0 if isinstance(v, float) else v for v in values))  # 0.0 equals -0.0
+
+    def summary(self) -> dict:
+        """Rows and first and last group of what was read, with their lengths, and the last one's sums."""
+        return {"rows": self.rows, "first_key": self.first_key, "last_key": self.key, "first_n": self.first_n,
+                "last_n": self.n, **{f"last_s{j}": float(v) for j, v in enumerate(self.s)}}
 
     def run(self, batch):
         """Positions and running sums of the batch's rows; integer columns are summed exactly."""
@@ -182,6 +275,8 @@ class _ScanState:
                 v = np.asarray(pc.fill_null(col.cast(pa.float64()), 0.0))
                 cs = pd.Series(v).groupby(gid).cumsum().to_numpy() + np.where(cont, self.s[j], 0.0)
             cums.append(cs)
+        if self.first_n == self.rows:  # all rows so far are of the first group
+            self.first_n += int(start[1] if len(start) > 1 else n) if not change[0] else 0
         self.rows += n
         self.key, self.n = self._key(batch, n - 1), int(pos[-1])
         self.s = [cs[-1].item() for cs in cums]
@@ -192,21 +287,22 @@ class _ScanState:
 # W1-W4
 # ---------------------------------------------------------------------------
 
-def pct_rank_desc(df: DataFrame, score: str, out: str = "n") -> DataFrame:
+def tie_rank(total) -> Column:
+    """Average rank of a row's ties, from an ``ordered_scan`` with ``tie_cols``, as a share of ``total``."""
+    return (F.col("tie_first") - 1 + (F.col("tie_n") + 1) / 2.0) / total
+
+
+def pct_rank_desc(df: DataFrame, score: str, out: str = "n", key: str | None = None) -> DataFrame:
     """``rank(pct=True, ascending=False)`` with average ties.
 
     rank = (#rows with a larger score) + (ties + 1) / 2, divided by the number
-    of non-NULL scores; NULL scores get a NULL rank.  Computed on the distinct
-    score table (a running count over it) and joined back by score.
+    of non-NULL scores; NULL scores get a NULL rank.  One ordered scan, which also
+    measures the ties; ``key`` (unique, any order) splits a hot score over partitions.
     """
-    scored = df.where(F.col(score).isNotNull())
-    distinct = scored.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
-    scan = ordered_scan(distinct, order_by=[(score, False)], sum_cols=["__c"],
-                        pos_col="__i", cum_prefix="__cum")
-    total = distinct.agg(F.sum("__c").alias("__N"))
-    ranks = scan.crossJoin(F.broadcast(total)).select(
-        score, ((F.col("__cum__c") - F.col("__c") + (F.col("__c") + 1) / 2.0) / F.col("__N")).alias(out))
-    return df.join(ranks, score, "left")
+    scan = ordered_scan(df, [(score, False)] + ([(key, True)] if key else []), pos_col="__pos", tie_cols=[score])
+    total = scan.agg(F.count(score).alias("__N"))
+    rank = F.when(F.col(score).isNotNull(), tie_rank(F.col("__N")))
+    return scan.crossJoin(F.broadcast(total)).select(*df.columns, rank.alias(out))
 
 
 def running_sum(df: DataFrame, order_by: Sequence, cols: Sequence[str],

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -45,6 +46,40 @@ def test_pct_rank_null_score(spark):
     assert got == {1: 1.0, 2: None}
 
 
+@pytest.mark.parametrize("parts,batch", [(1, 10000), (5, 7), (9, 64)])
+@pytest.mark.parametrize("values", [[0.2, 0.5, 0.7], [float(v) for v in range(200)] + [-0.0, None, 0.3, float("nan")]])
+def test_ties_across_batches_and_partitions(spark, parts, batch, values):
+    random.seed(parts)
+    # the first value holds a third of all rows
+    rows = [(i, random.choice([0, 1]), values[0] if i % 3 == 0 else random.choice(values)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, g int, s double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out = {r["k"]: r for r in ordered_scan(df, [("s", False), ("k", True)], partition_by=["g"], num_partitions=parts,
+                                               tie_cols=["s"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(out) == len(rows)
+    same = {}
+    for k, g, s in rows:
+        same.setdefault((g, repr(s + 0.0) if s is not None else None), []).append(out[k]["_pos"])
+    for k, g, s in rows:
+        places = same[g, repr(s + 0.0) if s is not None else None]
+        assert (out[k]["tie_first"], out[k]["tie_n"]) == (min(places), len(places))
+        assert max(places) - min(places) + 1 == len(places)
+
+
+def test_pct_rank_of_three_scores_without_a_join_on_the_score(spark):
+    random.seed(1)
+    pdf = pd.DataFrame({"k": range(3000), "s": [random.choice([0.1, 0.4, 0.4, 0.9]) for _ in range(3000)]})
+    ranked = pct_rank_desc(spark.createDataFrame(pdf), "s", key="k")
+    got = ranked.toPandas().set_index("k")["n"].sort_index()
+    assert (got - pdf["s"].rank(pct=True, ascending=False)).abs().max() < 1e-12
+    plan = ranked._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_argmax_first_wins(spark):
     df = spark.createDataFrame([(0.1, 0.5), (0.2, 0.7), (0.3, 0.7)], "t double, f1 double")
     assert argmax_first(df, "f1", "t").first()["t"] == 0.2
