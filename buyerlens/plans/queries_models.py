@@ -225,6 +225,23 @@ def q_m1(spark, sf_dir):
                        F.col("prediction").cast("int").alias("prediction"))
 
 
+@register("M6_stored_ols", sql=s.sql_with_model([
+    ("line", "SELECT regr_slope(CLTV, PRICE_SOLD_GMV) AS slope, regr_intercept(CLTV, PRICE_SOLD_GMV) AS intercept FROM d5")],
+    "SELECT ID_BUYER, slope, intercept, intercept + slope * PRICE_SOLD_GMV AS prediction FROM d5 CROSS JOIN line"),
+    round_cols=["slope", "intercept", "prediction"], digits=4)
+def q_m6(spark, sf_dir):
+    """Least squares of one feature, predicted by the model as it is read back from the store."""
+    m = materialize(s.model_table(spark, sf_dir).select("ID_BUYER", "PRICE_SOLD_GMV", F.col("CLTV").cast("double").alias("label")))
+    ols = mo.regressor_specs(1.0, 1)["Linear Regression"]  # without regularisation neither number counts
+    model = Pipeline(stages=[mo.assembler(["PRICE_SOLD_GMV"]), ols]).fit(m)
+    path = os.path.join(work_dir(spark, "model"), "ols")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    line = loaded.stages[-1]
+    return loaded.transform(m).select(
+        "ID_BUYER", F.lit(float(line.coefficients[0])).alias("slope"), F.lit(float(line.intercept)).alias("intercept"), "prediction")
+
+
 # ----------------------------------------------------------------- L3 / V9 on fitted models
 def uplift_model_predictions(spark, sf_dir, invert=False):
     """L3 ``predict``: stratified 70/30 split on treatment, an outcome model

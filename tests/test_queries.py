@@ -10,7 +10,8 @@ from buyerlens.sources.tables import TABLES
 
 PARITY = ["D1_purchase_features", "D2_likes_features", "D3_comments_features", "D4_buyer_table",
           "D5_model_table", "C1_composite_score", "V8_threshold_optimization", "L6_qini_curve",
-          "E1_target_encoding", "A14_correlation_matrix", "E9_stratified_split"]
+          "E1_target_encoding", "A14_correlation_matrix", "E9_stratified_split", "M6_stored_ols", "L5_sorting_data",
+          "L7_qini_both_models"]
 
 
 def _canon(df):
