@@ -10,7 +10,8 @@ from buyerlens.session import write_shared
 
 
 def held_out(doc_id) -> F.Column:
-    """Whether a document belongs to the evaluation fold: crc32 of the id's text is 0 modulo 5."""
+    """Whether a document belongs to the evaluation fold: crc32 of the id's text is 0 modulo 5.
+    A null id does not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 

@@ -236,6 +236,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """One row per row of documents; a row without a doc_id is scored and is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

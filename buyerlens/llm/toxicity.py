@@ -171,6 +171,7 @@ def keep_clean(docs: DataFrame, model: LinearModel, limit: float = 0.5) -> DataF
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """One row per row of documents; a row without a doc_id is scored and is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     s = score(docs, model)
