@@ -11,8 +11,9 @@ from buyerlens.operators import uplift as up
 from buyerlens.plans import buyer_features as bf
 from buyerlens.plans import scored as s
 from buyerlens.plans.queries_eval import C1_CTES, q_c1, xsum
-from buyerlens.plans.queries_features import buyer_table, buyer_table_ctes
+from buyerlens.plans.queries_features import CUT, buyer_table, buyer_table_ctes
 from buyerlens.plans.registry import register
+from buyerlens.session import materialize
 from buyerlens.sources import fixtures as fx
 
 frac = s.sql_frac
@@ -174,8 +175,11 @@ SELECT true AS schema_equal, (SELECT count(*) FROM d4) AS rows_left, (SELECT cou
 
 @register("U3_compare_versions", sql=_u3_sql())
 def q_u3(spark, sf_dir):
-    left = buyer_table(spark, sf_dir)
-    right = buyer_table(spark, sf_dir, cutoff=U3_CUT2)
+    # the versions differ in the activity cutoff only, so they share their purchase features
+    purchases = materialize(bf.purchase_features(fx.purchases(spark, sf_dir), fx.offers(spark, sf_dir)))
+    left, right = (bf.merge_buyer_table(purchases, bf.likes_features(fx.likes(spark, sf_dir), cut, check_contract=True),
+                                        bf.comments_features(fx.comments(spark, sf_dir), cut, check_contract=True))
+                   for cut in (CUT, U3_CUT2))
     return pr.compare_tables(left, right).drop("common_columns")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from buyerlens import params
 from buyerlens.operators import clean as cl
 from buyerlens.plans import buyer_features as bf
@@ -40,3 +41,16 @@ def test_whole_rows_decide_the_contract_before_columns_are_counted(spark, monkey
     cl.check_dense(df, ["id", "a", "b"], 0.85)  # 80 whole rows, 90 values in each column
     monkeypatch.setattr(cl, "dense_columns", lambda *_: (_ for _ in ()).throw(AssertionError("counted by column")))
     cl.check_dense(df, ["id", "a", "b"], 0.80)
+
+
+def _builds(monkeypatch, spark, sf, name):
+    """How often the query reduces the purchases."""
+    calls, real = [], bf.purchase_features
+    monkeypatch.setattr(bf, "purchase_features", lambda *a, **k: calls.append(1) or real(*a, **k))
+    entry.queries()[name](spark, sf).collect()
+    return len(calls)
+
+
+def test_versions_and_running_value_reduce_the_purchases_once(spark, sf001, monkeypatch):
+    assert _builds(monkeypatch, spark, sf001, "U3_compare_versions") == 1
+    assert _builds(monkeypatch, spark, sf001, "W3_running_value") == 1
