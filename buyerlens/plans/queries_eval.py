@@ -402,7 +402,7 @@ SELECT s.ID_BUYER, s.score, d.CLTV,
        SUM(CAST(d.CLTV AS DECIMAL(38,10))) OVER (ORDER BY s.score DESC, s.ID_BUYER ROWS UNBOUNDED PRECEDING) AS cum_CLTV
 FROM scored s JOIN d5 d ON s.ID_BUYER = d.ID_BUYER"""), round_cols=["cum_CLTV"], digits=2)
 def q_w3(spark, sf_dir):
-    sb = s.scored_binary(spark, sf_dir).select("ID_BUYER", "score")
-    m = s.model_table(spark, sf_dir).select("ID_BUYER", "CLTV")
-    return running_sum(sb.join(m, "ID_BUYER"), [("score", False), ("ID_BUYER", True)],
+    m = s.model_table(spark, sf_dir, columns=["ID_BUYER", "REPEATER", "CLTV"])
+    sb = s.scored_binary(spark, sf_dir, m).select("ID_BUYER", "score")
+    return running_sum(sb.join(m.select("ID_BUYER", "CLTV"), "ID_BUYER"), [("score", False), ("ID_BUYER", True)],
                        ["CLTV"]).drop("_pos")
