@@ -199,7 +199,7 @@ def q_p3(spark, sf_dir):
 
 @register("P3_drop_sparse_columns")
 def q_p3_drop(spark, sf_dir):
-    return cl.drop_sparse_columns(buyer_table(spark, sf_dir), 0.85)
+    return cl.drop_sparse_columns(materialize(buyer_table(spark, sf_dir)), 0.85)
 
 
 # ----------------------------------------------------------------- P13/P14

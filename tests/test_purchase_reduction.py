@@ -54,3 +54,8 @@ def _builds(monkeypatch, spark, sf, name):
 def test_versions_and_running_value_reduce_the_purchases_once(spark, sf001, monkeypatch):
     assert _builds(monkeypatch, spark, sf001, "U3_compare_versions") == 1
     assert _builds(monkeypatch, spark, sf001, "W3_running_value") == 1
+
+
+def test_sparse_columns_are_dropped_from_a_stored_table(spark, sf001):
+    plan = _plan(entry.queries()["P3_drop_sparse_columns"](spark, sf001))
+    assert "Join" not in plan and "Aggregate" not in plan
