@@ -1,8 +1,10 @@
 """Group aggregates with pandas semantics."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from buyerlens.operators.aggregate import (exact_mean, first_non_null, group_first, group_mode,
+from buyerlens.operators.aggregate import (exact_mean, exact_sum, first_non_null, group_first, group_mode,
                                            sum0, transform_by_group, with_global_max)
 
 
@@ -55,3 +57,26 @@ def test_null_key_left_join_no_match(spark):
     right = spark.createDataFrame([(None, 2)], "ID_BUYER long, b int")
     r = left.join(right, "ID_BUYER", "left").first()
     assert r["b"] is None
+
+
+def test_exact_sum_equals_the_sum_of_decimals(spark):
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(4000)]
+    values += [rng.randint(-10 ** 6, 10 ** 6) / 10 ** rng.randint(0, 6) * rng.choice([1, 0.07, 0.5]) for _ in range(4000)]
+    values += [(2 * rng.randint(-10 ** 7, 10 ** 7) + 1) / 2e10 for _ in range(2000)]  # halves of the last decimal
+    values += [112589.9906842624, -112589.99068426239, 0.0, -0.0, 5e-324, None]
+    df = spark.createDataFrame([(i % 7 if v is not None else 9, v) for i, v in enumerate(values)], "k int, x double")
+    each = df.withColumn("k", F.monotonically_increasing_id())
+    for rows in (df, each):
+        got = rows.groupBy("k").agg(exact_sum("x").alias("a"), F.sum(F.col("x").cast("decimal(38,10)")).alias("b"))
+        assert got.where("NOT (a <=> b)").count() == 0
+    plan = df.groupBy("k").agg(exact_sum("x"))
+    assert "shiftright" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mode_takes_one_exchange_and_no_unpivot(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 10), (1, "a", 2), (1, "b", 10), (2, None, None)], "k int, c string, d int")
+    got = group_mode(df, "k", ["c", "d"])
+    assert sorted(got.collect()) == [(1, "a", "10"), (2, None, None)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan.lower()
