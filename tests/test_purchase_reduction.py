@@ -1,5 +1,6 @@
 """D1 stores the purchase rows once; every reduction reads only its columns of them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -59,3 +60,29 @@ def test_versions_and_running_value_reduce_the_purchases_once(spark, sf001, monk
 def test_sparse_columns_are_dropped_from_a_stored_table(spark, sf001):
     plan = _plan(entry.queries()["P3_drop_sparse_columns"](spark, sf001))
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def _stored(monkeypatch):
+    """What D1 stores, in the order it does."""
+    kept, real = [], bf.materialize
+    monkeypatch.setattr(bf, "materialize", lambda df: kept.append(df) or real(df))
+    return kept
+
+
+def test_one_aggregate_makes_all_reductions(spark, sf001, monkeypatch):
+    kept = _stored(monkeypatch)
+    d1 = bf.purchase_features(fx.purchases(spark, sf001), fx.offers(spark, sf001))
+    assert kept[0].count() == d1.count()  # one row per buyer, not the purchase rows
+    assert "Generate" not in _plan(kept[0])
+
+
+def test_rows_with_nulls_or_nan_count_in_the_contract_only(spark, sf001):
+    hole = lambda c, n, v: F.when(F.col("ID_ORDER") % 50 == n, v).otherwise(F.col(c))
+    purchases = fx.purchases(spark, sf001).withColumn("ID_BRAND", hole("ID_BRAND", 1, F.lit(None))).withColumn(
+        "PRICE_SOLD_GMV", hole("PRICE_SOLD_GMV", 2, F.lit(float("nan")))).withColumn("ID_BUYER", hole("ID_BUYER", 3, F.lit(None)))
+    offers = fx.offers(spark, sf001)
+    got = bf.purchase_features(purchases, offers).orderBy("ID_BUYER").collect()
+    clean = purchases.where("ID_ORDER % 50 NOT IN (1, 2, 3)")
+    assert got == bf.purchase_features(clean, offers).orderBy("ID_BUYER").collect()
+    with pytest.raises(cl.SchemaContractError, match="ID_BRAND"):
+        bf.purchase_features(purchases.withColumn("ID_BRAND", F.when(F.col("ID_ORDER") % 5 > 0, "b")), offers)
