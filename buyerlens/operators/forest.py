@@ -1,7 +1,8 @@
 """Trees and forests whose subtrees never leave the executors (M3, M4).
 
 A leaderboard needs a forest's predictions of the left-out fold, not the forest, so no tree is
-collected.  Nodes of more than ``LOCAL_ROWS`` rows are split level by level in shared passes like those of
+collected.  A table of up to ``boosting.TASK_ROWS`` rows is broadcast as bins and a task grows whole trees.  In a
+larger one, nodes of more than ``LOCAL_ROWS`` rows are split level by level in shared passes like those of
 ``operators.boosting`` (the driver gets one split per such node).  The rows of a smaller node, in its bag or
 left out, then meet in one task, which grows the subtree and predicts the left-out rows with it.
 
@@ -82,7 +83,7 @@ def grow_and_predict(bins, y, w, held, spec: ForestSpec, depth: int, n_bins: int
     out = np.zeros(len(held))
     rows, at = np.arange(len(y)), np.zeros(len(y), np.int64)
     left_out, held_at = np.arange(len(held)), np.zeros(len(held), np.int64)
-    n, features = 1, bins.shape[1]
+    n, features, flat = 1, bins.shape[1], np.ascontiguousarray(bins).reshape(-1)
     for level in range(depth + 1):
         weight, wy = w[rows], w[rows] * y[rows]
         total, sums = np.bincount(at, weight, n), np.bincount(at, wy, n)
@@ -92,7 +93,7 @@ def grow_and_predict(bins, y, w, held, spec: ForestSpec, depth: int, n_bins: int
         chosen = np.sort(np.argsort(rng.random((n, features)), axis=1)[:, :spec.subset(features)], axis=1)
         gain, feature, cut = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for candidate in chosen.T:
-            index = at * n_bins + bins[rows, candidate[at]]
+            index = at * n_bins + flat.take(rows * features + candidate.take(at))
             lw = np.bincount(index, weight, n * n_bins).reshape(n, n_bins).cumsum(axis=1)
             ls = np.bincount(index, wy, n * n_bins).reshape(n, n_bins).cumsum(axis=1)
             rw, rs = total[:, None] - lw, sums[:, None] - ls
@@ -114,7 +115,7 @@ def grow_and_predict(bins, y, w, held, spec: ForestSpec, depth: int, n_bins: int
 def _descend(bins, rows, at, splits, rank, feature, cut):
     go = splits[at]
     rows, at = rows[go], at[go]
-    return rows, 2 * rank[at] + (bins[rows, feature[at]] > cut[at])
+    return rows, 2 * rank.take(at) + (bins.reshape(-1).take(rows * bins.shape[1] + feature.take(at)) > cut.take(at))
 
 
 # ------------------------------------------------------------------ the table
@@ -130,10 +131,11 @@ def _bin(batches, features, cuts):
 
 @dataclass
 class BinnedTable:
-    """Key hash, label, fold and bins of all rows, dealt over all cores."""
+    """Key hash, label, fold and bins of all rows, dealt over all cores; ``sent`` are the same in memory, if they are few."""
     rows: DataFrame
     n_features: int
     n_bins: int
+    sent: object = None
 
     @classmethod
     def of(cls, df: DataFrame, features: Sequence[str], label: str, key: str, fold_col: str) -> "BinnedTable":
@@ -143,12 +145,40 @@ class BinnedTable:
         cuts = split_points(rows.where("__y is not null"), features)
         stored = write_shared(rows.mapInArrow(partial(_bin, features=list(features), cuts=cuts), _TABLE))
         n = max(spark.sparkContext.defaultParallelism, stored.rdd.getNumPartitions())
-        return cls(stored.repartition(n, "h"), len(features), max([len(c) for c in cuts], default=0) + 1)
+        sent = None
+        if LOCAL_ROWS < stored.count() <= bo.TASK_ROWS:
+            keys, y, fold, bins = _columns(stored.toArrow(), len(features))
+            order = np.lexsort((y, keys))  # sums do not depend on the order of arrival
+            sent = spark.sparkContext.broadcast(tuple(c[order] for c in (keys, y, fold, bins)))
+        return cls(stored.repartition(n, "h"), len(features), max([len(c) for c in cuts], default=0) + 1, sent)
 
 
 def _columns(batch, n_features):
     keys, fold = (np.asarray(batch.column(c)) for c in ("h", "fold"))
-    return keys, np.asarray(batch.column("y").fill_null(np.nan)), fold, bo._matrix(batch.column("bins"), np.uint8, n_features)
+    bins = batch.column("bins")
+    if isinstance(bins, pa.ChunkedArray):
+        bins = np.concatenate([bo._matrix(c, np.uint8, n_features) for c in bins.chunks])
+    else:
+        bins = bo._matrix(bins, np.uint8, n_features)
+    return keys, np.asarray(batch.column("y").fill_null(np.nan)), fold, bins
+
+
+# ------------------------------------------------------------------ whole trees
+def _whole_trees(batches, sent, spec, fold, n_bins, tasks):
+    """Sum and number of the predictions that the trees of a task make for each left-out row."""
+    keys, y, folds, bins = sent.value
+    seen, own = (folds != fold) & ~np.isnan(y), folds == fold
+    held_keys, held = keys[own], bins[own]
+    for batch in batches:
+        for task in batch.column("id").to_pylist():
+            total, trees = np.zeros(len(held)), range(task, spec.trees, tasks)
+            for tree in trees if len(held) and seen.any() else ():
+                w = bag(keys, tree, spec)
+                use = np.flatnonzero(seen & (w > 0))
+                total += grow_and_predict(bins[use], y[use], w[use], held, spec, spec.depth, n_bins,
+                                          np.random.default_rng([spec.seed, 1, fold, tree, 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(held_keys, pa.int64()), pa.array(total), pa.array(np.full(len(held), len(trees)))],
+                                             ["h", "total", "trees"])
 
 
 # ------------------------------------------------------------------ large nodes
@@ -269,7 +299,13 @@ def _finish(key, table, sent, spec, fold, n_features, n_bins):
 
 def fold_predictions(table: BinnedTable, spec: ForestSpec, fold: int) -> DataFrame:
     """``h, prediction`` of the rows of ``fold`` by the forest of the other rows, stored."""
-    sc = table.rows.sparkSession.sparkContext
+    spark = table.rows.sparkSession
+    sc = spark.sparkContext
+    if table.sent is not None:
+        tasks = min(spec.trees, 4 * sc.defaultParallelism)
+        sums = spark.range(0, tasks, 1, tasks).mapInArrow(
+            partial(_whole_trees, sent=table.sent, spec=spec, fold=fold, n_bins=table.n_bins, tasks=tasks), "h long, total double, trees long")
+        return _decided(sums.groupBy("h").agg((F.sum("total") / F.sum("trees")).alias("prediction")), spec)
     trees, left = split_large(table, spec, fold)
     arrays = [{**t.arrays(), "depth": np.array(t.depth)} for t in trees]
     sent = sc.broadcast((arrays, left))
@@ -278,7 +314,11 @@ def fold_predictions(table: BinnedTable, spec: ForestSpec, fold: int) -> DataFra
     dealt = (table.rows.mapInArrow(partial(_deal, sent=sent, **sizes), _DEALT).repartition(groups, "tree", "node", "chunk"))
     values = dealt.groupBy("tree", "node", "chunk").applyInArrow(
         partial(_finish, sent=sent, n_bins=table.n_bins, **sizes), "h long, value double")
-    mean = values.groupBy("h").agg(F.avg("value").alias("prediction"))
+    return _decided(values.groupBy("h").agg(F.avg("value").alias("prediction")), spec)
+
+
+def _decided(mean: DataFrame, spec: ForestSpec) -> DataFrame:
+    """Means of a forest's predictions, or the classes they decide for, stored."""
     if spec.classify:
         mean = mean.select("h", (F.round("prediction", 12) > 0.5).cast("double").alias("prediction"))
     return write_shared(mean)
